@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import folded_crc, read_table
+from .decontaminate import leaks
 from .extract import extract_main_text
+from .graph_search import nearest_neighbours
 from .mixing import mix_sources
+from .near_join import near_groups
+from .quality import grade_documents, train_quality
 from .token_counts import token_counts
+from .toxicity import score_toxicity, train_toxicity
 from .url_filter import filter_as_of, host_of
 from .warc import compare_replicas, lay_out, record_bytes
 
@@ -48,6 +53,30 @@ FROM laid WHERE substr(m, 1, 2) IN ('00', '01')
 """
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and top-grade probability of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, read_table(spark, sf_dir, "labels"))
+    return grade_documents(docs, model).select("doc_id", (folded_crc("doc_id") == 0).alias("held_out"), "expected_grade", "tail_prob", "selected")
+
+
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", (folded_crc("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op5_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _hex(text, start: int):  # noqa: ANN001, ANN202
     """Four hexadecimal digits of an md5 as a number."""
     return F.conv(F.substring(F.md5(text.cast("binary")), start, 4), 16, 10).cast("long")
@@ -83,7 +112,7 @@ def op6_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(log(hosts, "spam", F.concat(F.lit("d:"), domain), domain, 5, (domain != "") & (_hex(domain, 1) % 3 == 0)))
         .unionByName(log(hosts, "adult", F.concat(F.lit("p:"), path), path, 13, (F.col("seg") != "") & (_hex(path, 5) % 5 == 0)))
     )
-    return filter_as_of(captures, entries)
+    return filter_as_of(captures, entries).withColumn("since", F.coalesce("since", F.lit(-1).cast("long")))
 
 
 OP6_SQL = r"""
@@ -114,11 +143,16 @@ m AS (
   SELECT k.page_id, k.url, k.ts, list_name, min(v.t) AS since FROM k JOIN v USING (key)
   WHERE v.action = 'add' AND v.t <= k.ts AND (v.until IS NULL OR k.ts < v.until) GROUP BY ALL),
 g AS (SELECT page_id, url, ts, count(*) AS n, string_agg(list_name, ',' ORDER BY list_name) AS lists, min(since) AS since FROM m GROUP BY ALL)
-SELECT c.page_id, c.url, c.ts AS fetched_at, g.n IS NOT NULL AS blocked, CAST(coalesce(g.n, 0) AS BIGINT) AS n_lists, coalesce(g.lists, '') AS lists, CAST(g.since AS BIGINT) AS since
+SELECT c.page_id, c.url, c.ts AS fetched_at, g.n IS NOT NULL AS blocked, CAST(coalesce(g.n, 0) AS BIGINT) AS n_lists, coalesce(g.lists, '') AS lists, CAST(coalesce(g.since, -1) AS BIGINT) AS since
 FROM c LEFT JOIN g ON c.page_id = g.page_id AND c.url = g.url AND c.ts = g.ts
 """
 
 
+def op7_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all documents."""
+    return near_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_max_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract_main_text(read_table(spark, sf_dir, "pages"))
@@ -140,7 +174,12 @@ def op10_rank_synchronous_tokens(spark: SparkSession, sf_dir: str, vocabulary: s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fixity": op1_merkle_fixity,
+    "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_kneser_ney_toxicity": op3_kneser_ney_toxicity,
+    "op4_robust_pruned_graph": op4_robust_pruned_graph,
+    "op5_pigeonhole_edit_matching": op5_pigeonhole_edit_matching,
     "op6_temporal_url_filter": op6_temporal_url_filter,
+    "op7_bayesian_jaccard_join": op7_bayesian_jaccard_join,
     "op8_max_subsequence_html": op8_max_subsequence_html,
     "op9_hypergeometric_mix": op9_hypergeometric_mix,
     "op10_rank_synchronous_tokens": op10_rank_synchronous_tokens,
