@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
+#: The rest of a tag: values in quotes may hold anything, a bare "<" ends the attempt, so broken markup stays linear.
+_REST = r"(?:[^>=<]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object|select|xmp|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*>?"
-    r"|(?P<text>[^<]+|<)",
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object|select|xmp|noframes)(?=[\s/>])" + _REST + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/><]*+)(?P<attrs>" + _REST + r")>"
+    r"|<[!?/][^>]*+>"
+    r"|(?P<text>[^<]++|<)",
     re.IGNORECASE | re.DOTALL,
 )
 ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -109,7 +111,7 @@ class Page:
                         zones -= stack.pop()[1]
                         names.pop()
                     zone = is_zone(tag, m["attrs"], names)
-                    if tag not in VOID and not m["attrs"].endswith("/"):
+                    if tag not in VOID:
                         holder = [len(self.kind), 1 << 60] if tag in ("article", "main") and not zone and not zones else None
                         if holder:
                             self.holders.append(holder)
