@@ -1,0 +1,335 @@
+"""Queries over the driver's tables for the engine's own operators, with their SQL.
+
+``documents`` stands for the store of documents: doc_id is the document, source its
+folder, lang its extension; the lines of a text are its chunks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinfold.functions import text as T
+from twinfold.operators import clusters as C
+from twinfold.operators import pairs as P
+from twinfold.operators import rules as R
+from twinfold.operators.chunking import split_long
+from twinfold.operators.components import components
+from twinfold.sources.files import changed, parse_html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.replace("$NORM", _NORM).replace("$LINES", _LINES).replace("$CHUNKS", _CHUNKS)
+        return f
+
+    return add
+
+
+# The normal form of documents.text, its lines, and line chunks of 80 characters or more, in SQL.
+_NORM = r"""trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)),
+  lambda l: trim(regexp_replace(l, '[ \t\f\v]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+_LINES = "(SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents)"
+_CHUNKS = f"(SELECT doc_id, source, lang, at, trim(line) AS line FROM {_LINES} WHERE length(trim(line)) >= 80)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("at", F.col("at") + 1)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).withColumn("line", F.trim("line")).where(F.length("line") >= 80)
+
+
+@query("SELECT doc_id, sha256($NORM) AS normalized_hash, CAST(length($NORM) AS BIGINT) AS n FROM documents")
+def normalize_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalize_text(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(n, 256).alias("normalized_hash"), F.length(n).cast("long").alias("n"))
+
+
+@query("SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def raw_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.groups(_docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id")
+
+
+@query("SELECT sha256($NORM) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def norm_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.groups(_docs(spark, sf_dir).select("doc_id", T.text_hash(F.col("text")).alias("h")), "h", "doc_id")
+
+
+@query("WITH h AS (SELECT doc_id, sha256($NORM) AS h FROM documents), g AS (SELECT h, min(doc_id) AS first FROM h GROUP BY 1) SELECT first AS \"left\", doc_id AS \"right\" FROM h JOIN g USING (h) WHERE doc_id <> first")
+def exact_doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.star_links(_docs(spark, sf_dir).select("doc_id", T.text_hash(F.col("text")).alias("h")), "h", "doc_id")
+
+
+@query("SELECT a.item_id AS \"left\", b.item_id AS \"right\" FROM benchmark a JOIN benchmark b ON length(a.text) = length(b.text) AND a.item_id < b.item_id")
+def all_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.length("text").cast("string").alias("k"))
+    return P.all_pairs(items, "k", "item_id")
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS BIGINT) AS n_lines,
+  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
+  CASE WHEN length(f) > 180 THEN substr(f, 1, 177) || '...' ELSE f END AS preview
+FROM (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), ' ') AS f FROM documents)""")
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", T.count_lines(t).cast("long").alias("n_lines"), T.count_tokens(t).cast("long").alias("n_tokens"), T.preview(t).alias("preview"))
+
+
+@query("SELECT 'chk_' || substr(sha256(doc_id || '|' || at || '|' || line), 1, 24) AS chunk_id, doc_id, CAST(at AS BIGINT) AS at, sha256(line) AS h FROM $CHUNKS")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("at").cast("string"), "line")
+    return _chunks(spark, sf_dir).select(T.stable_id("chk", raw).alias("chunk_id"), "doc_id", F.col("at").cast("long").alias("at"), F.sha2("line", 256).alias("h"))
+
+
+@query("SELECT sha256(line) AS h, count(*) AS n, min(doc_id) AS first FROM $CHUNKS GROUP BY 1 HAVING count(*) > 1")
+def chunk_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.groups(_chunks(spark, sf_dir).select("doc_id", F.sha2("line", 256).alias("h")), "h", "doc_id")
+
+
+@query("SELECT doc_id, min(sha256(line)) AS representative FROM $CHUNKS GROUP BY 1")
+def representative_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.representative_chunks(_chunks(spark, sf_dir).select("doc_id", F.sha2("line", 256).alias("chunk_id"))).withColumnRenamed("chunk_id", "representative")
+
+
+@query("""WITH u AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1, 2)) AS s FROM u WHERE len(ls) >= 3)
+SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(len(list_slice(ls, s + 1, s + 4)) AS BIGINT) AS n, sha256(array_to_string(list_slice(ls, s + 1, s + 4), chr(10))) AS h
+FROM w WHERE len(list_slice(ls, s + 1, s + 4)) >= 3 AND (s = 0 OR s - 2 + 4 < len(ls))""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4 non-blank lines by 2, of 3 lines at least, until the end is covered."""
+    u = _docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("ls")).where(F.size("ls") >= 3)
+    w = u.select("doc_id", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(2))).alias("start")).where((F.col("start") == 0) | (F.col("start") + 2 < F.size("ls")))
+    w = w.withColumn("part", F.slice("ls", F.col("start") + 1, F.lit(4))).where(F.size("part") >= 3)
+    return w.select("doc_id", F.col("start").cast("long").alias("start"), F.size("part").cast("long").alias("n"), F.sha2(F.array_join("part", "\n"), 256).alias("h"))
+
+
+@query("""WITH l AS (SELECT doc_id, at, length(line) < 200 AS gap FROM $LINES), g AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM l)
+SELECT doc_id, min(at) AS first_line, max(at) AS last_line, count(*) AS n FROM g WHERE NOT gap GROUP BY doc_id, island""")
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of lines of 200 characters or more: gaps and islands inside the row, without a window over the table."""
+    runs = F.aggregate(
+        F.split("text", "\n"),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(False).alias("open")),
+        lambda s, x: F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(F.length(x) < 200, s["runs"])
+            .when(s["open"], F.concat(F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1), F.array(F.struct(F.try_element_at(s["runs"], F.lit(-1))["a"].alias("a"), (s["at"] + 1).alias("b")))))
+            .otherwise(F.concat(s["runs"], F.array(F.struct((s["at"] + 1).alias("a"), (s["at"] + 1).alias("b"))))).alias("runs"),
+            (F.length(x) >= 200).alias("open"),
+        ),
+    )
+    return _docs(spark, sf_dir).select("doc_id", F.explode(runs["runs"]).alias("r")).select("doc_id", F.col("r.a").cast("long").alias("first_line"), F.col("r.b").cast("long").alias("last_line"), (F.col("r.b") - F.col("r.a") + 1).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length($NORM) = 0 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, greatest(length($NORM) - 4, 1)), lambda i: substr(lower($NORM), i, 5)))) END AS n_grams FROM documents")
+def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.grams(T.normalize_text(F.col("text")))).cast("long").alias("n_grams"))
+
+
+_TURNS = """(SELECT conv_id * 1000 + turn AS id, conv_id, role, text, greatest(1, CAST(floor(length(text) / 10) AS BIGINT)) AS n FROM conversations WHERE text IS NOT NULL AND length(text) > 0)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.length("text") > 0)
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "role", "text", F.greatest(F.lit(1), F.floor(F.length("text") / 10)).cast("long").alias("n"))
+
+
+@query(f"""WITH t AS {_TURNS}, c AS (SELECT a.conv_id = b.conv_id AS same, least(a.n, b.n) / greatest(a.n, b.n) AS ratio FROM t a JOIN t b ON a.role = b.role AND a.id < b.id AND abs(a.n // 20 - b.n // 20) <= 2)
+SELECT count(*) AS candidate_pairs, count(*) FILTER (NOT same AND ratio >= 0.55) AS jaccard_comparisons, count(*) FILTER (same) AS skipped_same_path, count(*) FILTER (NOT same AND ratio < 0.55) AS skipped_length FROM c""")
+def near_perf_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.pair_counters(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n")
+
+
+@query(f"""WITH t AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(text) - 4, 1)), lambda i: substr(lower(text), i, 5))) AS g FROM {_TURNS}),
+c AS (SELECT a.id AS "left", b.id AS "right", len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM t a JOIN t b
+  ON a.role = b.role AND a.id < b.id AND a.conv_id <> b.conv_id AND abs(a.n // 20 - b.n // 20) <= 2 AND least(a.n, b.n) / greatest(a.n, b.n) >= 0.55)
+SELECT "left", "right", CAST(shared AS BIGINT) AS shared, CAST(total - shared AS BIGINT) AS every FROM c WHERE shared / (total - shared) >= 0.5""")
+def near_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.near_pairs(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n", "text", 0.5).select("left", "right", "shared", "every")
+
+
+@query()
+def minhash_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banded MinHash candidates of all distinct documents, verified by exact gram Jaccard."""
+    docs = _docs(spark, sf_dir).withColumn("norm", T.normalize_text(F.col("text")))
+    one = docs.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min_by(F.struct("doc_id", "norm"), "doc_id").alias("x")).select("x.*")
+    signed = one.select("doc_id", P.minhash(F.col("norm")).alias("sig"))
+    cand = P.lsh_candidates(signed, "doc_id")
+    return P.score_pairs(cand, one.select(F.col("doc_id").alias("id"), T.grams(F.col("norm")).alias("g"))).where("similarity >= 0.82")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of equal texts and of equal last lines, as stars."""
+    docs = _docs(spark, sf_dir)
+    text = P.star_links(docs.select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id").select("left", "right", F.lit(1.0).alias("similarity"), F.lit("file_exact").alias("duplicate_type"))
+    last = docs.select("doc_id", F.concat(F.element_at(F.split("text", "\n"), -1), F.lit("|"), F.col("lang")).alias("h")).where(F.length("h") >= 60)
+    return text.unionByName(P.star_links(last, "h", "doc_id").select("left", "right", F.lit(0.5).alias("similarity"), F.lit("window_near").alias("duplicate_type")))
+
+
+_EDGES = """e AS (
+  SELECT g.first AS l, d.doc_id AS r, 1.0::DOUBLE AS similarity, 'file_exact' AS duplicate_type FROM documents d JOIN (SELECT text, min(doc_id) AS first FROM documents GROUP BY 1) g USING (text) WHERE d.doc_id <> g.first
+  UNION ALL SELECT g.first, d.doc_id, 0.5::DOUBLE, 'window_near' FROM t d JOIN (SELECT h, min(doc_id) AS first FROM t WHERE length(h) >= 60 GROUP BY 1) g USING (h) WHERE d.doc_id <> g.first)"""
+_LAST = "t AS (SELECT doc_id, string_split(text, chr(10))[-1] || '|' || lang AS h FROM documents)"
+_COMP = "b AS (SELECT l, r FROM e UNION SELECT r, l FROM e), c AS (SELECT l AS node, l AS root FROM b UNION SELECT b.r, c.root FROM c JOIN b ON b.l = c.node), k AS (SELECT node, min(root) AS component FROM c GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {_LAST}, {_EDGES}, {_COMP} SELECT node, component FROM k")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_LAST}, {_EDGES} SELECT least(l, r) AS \"left\", greatest(l, r) AS \"right\", max(similarity) AS similarity, CASE WHEN max(similarity) = 1 THEN 'file_exact' ELSE 'window_near' END AS duplicate_type FROM e GROUP BY 1, 2")
+def pair_priority_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.best_pairs(_edges(spark, sf_dir), P.CODE_RANK)
+
+
+_FACTS = f"""WITH RECURSIVE {_LAST}, {_EDGES}, {_COMP},
+p AS (SELECT least(l, r) AS a, greatest(l, r) AS z, max(similarity) AS similarity FROM e GROUP BY 1, 2),
+f AS (SELECT component AS cluster, count(*) AS n_pairs, CASE WHEN max(similarity) = 1 THEN 'file_exact' ELSE 'window_near' END AS duplicate_type, avg(similarity) AS similarity FROM p JOIN k ON k.node = p.a GROUP BY 1),
+m AS (SELECT k.component AS cluster, f.duplicate_type, f.similarity, d.doc_id, d.source || '/doc' AS path, d.source AS folder, len(string_split(d.text, chr(10))) AS line_count FROM k JOIN documents d ON d.doc_id = k.node JOIN f ON f.cluster = k.component),
+s AS (SELECT cluster, duplicate_type, similarity, count(*) AS members, sum(line_count) AS lines,
+  round(greatest(0, least(100, least(30.0, sum(line_count) / 3) + least(20.0, (count(*) - 1) * 8) + similarity * 20 + CASE duplicate_type WHEN 'file_exact' THEN 18 ELSE 0 END)), 1) AS score FROM m GROUP BY 1, 2, 3)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = P.best_pairs(_edges(spark, sf_dir), P.CODE_RANK)
+    comp = components(pairs).withColumnRenamed("component", "cluster")
+    top = F.create_map(*[F.lit(x) for kv in P.CODE_RANK.items() for x in kv])[F.col("duplicate_type")]
+    facts = pairs.join(comp.withColumnRenamed("node", "left"), "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_pairs"), F.max_by("duplicate_type", top).alias("duplicate_type"), F.avg("similarity").alias("similarity"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("node"), F.concat("source", F.lit("/doc")).alias("path"), F.col("source").alias("folder"), F.size(F.split("text", "\n")).cast("long").alias("line_count"))
+    return facts, comp.join(docs, "node").join(facts, "cluster")
+
+
+@query(_FACTS + " SELECT cluster, n_pairs, duplicate_type, round(similarity, 6) AS similarity FROM f")
+def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir)[0].withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_FACTS + """ SELECT cluster, CAST(members AS BIGINT) AS members, CAST(lines AS BIGINT) AS lines, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS priority,
+  CASE WHEN duplicate_type = 'file_exact' OR similarity >= 0.93 THEN 'strong' WHEN similarity >= 0.86 THEN 'moderate' ELSE 'weak' END AS evidence FROM s""")
+def cluster_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.score_members(_facts(spark, sf_dir)[1]).select("cluster", "members", "lines", "score", "priority", "evidence")
+
+
+@query(_FACTS + """, x AS (SELECT d.source AS folder, count(*) AS files_scanned FROM documents d GROUP BY 1),
+y AS (SELECT m.folder, count(DISTINCT doc_id) AS affected_files, count(DISTINCT m.cluster) AS duplicate_clusters, sum(line_count) AS duplicate_lines, max(score) AS max_priority_score FROM m JOIN s USING (cluster) GROUP BY 1)
+SELECT x.folder, files_scanned, coalesce(affected_files, 0) AS affected_files, coalesce(duplicate_clusters, 0) AS duplicate_clusters, CAST(coalesce(duplicate_lines, 0) AS BIGINT) AS duplicate_lines, coalesce(max_priority_score, 0) AS max_priority_score,
+  round(coalesce(affected_files, 0) / files_scanned, 4) AS duplicate_density FROM x LEFT JOIN y USING (folder)""")
+def dir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _facts(spark, sf_dir)[1]
+    scored = members.join(C.score_members(members).select("cluster", "score"), "cluster").withColumn("path", F.col("node"))
+    return C.folder_summary(_docs(spark, sf_dir).select(F.col("source").alias("folder")), scored)
+
+
+@query(_FACTS + """, q AS (SELECT cluster, folder, sum(line_count) AS lines, max(similarity) AS similarity FROM m GROUP BY 1, 2)
+SELECT a.folder AS "left", b.folder AS "right", count(*) AS duplicate_clusters, CAST(sum(CASE WHEN a.folder = b.folder THEN a.lines ELSE a.lines + b.lines END) AS BIGINT) AS duplicate_lines, round(max(a.similarity), 4) AS max_similarity,
+  CASE WHEN a.folder = b.folder THEN 'internal' ELSE 'cross_directory' END AS scope FROM q a JOIN q b ON a.cluster = b.cluster AND a.folder <= b.folder GROUP BY 1, 2""")
+def dir_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.folder_pairs(_facts(spark, sf_dir)[1].select("folder", "cluster", "line_count", "similarity"))
+
+
+@query("""WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1), m AS (SELECT g.text AS t, n, doc_id, round(doc_id % 97 / 1e9 + least(length(d.text) / 1000.0, 2.0) + CASE d.lang WHEN 'en' THEN 1.5 ELSE 0 END, 9) AS score FROM documents d JOIN g USING (text)),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, doc_id) AS k FROM m) SELECT sha256(t) AS h, doc_id AS canonical_doc_id, score, n AS members FROM r WHERE k = 1""")
+def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preferred copy of each group of equal texts: en stands for the .md format, the id for the time of change."""
+    docs = _docs(spark, sf_dir).withColumn("h", F.sha2("text", 256))
+    score = F.round(C.canonical_score(F.lit(""), F.lit(""), F.when(F.col("lang") == "en", ".md").otherwise(""), F.col("doc_id") % 97, F.col("text")), 9)
+    return C.canonical(docs.select("h", "doc_id", score.alias("score")), "h", "doc_id", "score").where("members > 1")
+
+
+@query(_FACTS + """ SELECT cluster, CASE WHEN duplicate_type = 'file_exact' THEN '归档重复文件' ELSE '人工复核或保留观察' END AS action, CASE WHEN duplicate_type = 'file_exact' THEN 'high' ELSE 'low' END AS risk FROM s""")
+def suggested_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _facts(spark, sf_dir)[1].groupBy("cluster", "duplicate_type", "similarity").agg(F.count(F.lit(1)).alias("n"))
+    action, risk = C.suggest_action(F.col("duplicate_type"), F.col("n"), F.col("similarity"))
+    return m.select("cluster", action.alias("action"), risk.alias("risk"))
+
+
+@query("SELECT source AS folder, lang AS ext, count(*) AS files FROM documents GROUP BY 1, 2")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy(F.col("source").alias("folder"), F.col("lang").alias("ext")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (lang = 'fr') AS files, count(*) FILTER (lang <> 'fr') AS unsupported FROM documents)
+SELECT 'NO_DUPLICATES_WITH_MANY_UNSUPPORTED_FILES' AS code FROM s WHERE unsupported >= greatest(10, files * 3) UNION ALL SELECT 'EXACT_MODE_SKIPPED_NEAR_DUPLICATES' UNION ALL SELECT 'MANY_IGNORED_FILES' FROM s WHERE unsupported >= greatest(10, files * 2)
+UNION ALL SELECT 'NO_SUPPORTED_FILES' FROM s WHERE files = 0 UNION ALL SELECT 'LOW_SUPPORTED_FILE_COUNT' FROM s WHERE files BETWEEN 1 AND 2""")
+def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fr = F.col("lang") == "fr"
+    stats = _docs(spark, sf_dir).agg(F.count_if(fr).alias("files"), F.lit(0).alias("clusters"), F.count_if(~fr).alias("unsupported"), F.count_if(~fr).alias("ignored"), F.lit(False).alias("capped"), F.lit(False).alias("only_tests"))
+    return C.quality_warnings(stats, "exact")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 500 rows: a list endpoint's page."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "user_id", "event_type")
+
+
+_RULES = ", ".join("('" + i + "', '(?i)" + p + "', '" + s + "')" for i, p, s in R.RISKS)
+_ABOUT = " OR ".join(f"contains(lower(line), '{m.lower()}')" for m in R.DOCUMENTATION)
+
+
+@query(f"""SELECT doc_id, CAST(at AS BIGINT) AS line, rule_id, CASE WHEN {_ABOUT} OR (starts_with(trim(line), '(r"') AND ends_with(trim(line), '),')) THEN 'info' ELSE severity END AS severity, substr(trim(line), 1, 240) AS snippet
+FROM $LINES, (VALUES {_RULES}) r(rule_id, pattern, severity) WHERE regexp_matches(line, pattern)""")
+def risk_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.risk_scan(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}'), 1) AS at FROM benchmark),
+f AS (SELECT item_id, min(at) AS at, arg_min(word, at) AS word FROM w GROUP BY item_id, lower(word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS rank FROM f) SELECT item_id, rank, word FROM r WHERE rank <= 12""")
+def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keywords(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+
+
+_LINT = r"('\brm\s+-rf\b'), ('自动删除|automatically delete'), ('覆盖|overwrite'), ('上传密钥|upload.*(?:secret|token|key|password)'), ('(?:curl|wget).*\|\s*(?:sh|bash)')"
+
+
+@query(f"SELECT doc_id, CAST((SELECT count(*) FROM (VALUES {_LINT}) r(p) WHERE regexp_matches(text, '(?i)' || p)) AS BIGINT) AS n_warnings, 4::BIGINT AS n_errors, false AS ok FROM documents")
+def lint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as skill texts without frontmatter: four errors each, and the risks their text names."""
+    return R.lint(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), F.size("errors").cast("long").alias("n_errors"), "ok")
+
+
+@query(r"""WITH s AS (SELECT doc_id, lower(text) AS t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 1200 THEN 4 ELSE 2 END AS context_efficiency, CASE WHEN contains(t, 'eval') OR contains(t, 'lint') OR contains(t, 'security') OR contains(t, 'test') THEN 4 ELSE 3 END AS testability,
+  CASE WHEN contains(t, 'output format') OR contains(t, 'report') OR contains(t, 'json') OR contains(t, 'template') THEN 4 ELSE 3 END AS output_specificity FROM s""")
+def score_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = R.score_dimensions(_docs(spark, sf_dir), "doc_id", "text", F.lit(100), F.lit(False), F.array().cast("array<string>"))
+    return got.select("doc_id", "context_efficiency", "testability", "output_specificity")
+
+
+@query()
+def long_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of at most 1800 characters of all normalised documents."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def cut(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: split_long(x or ""))
+
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(cut(T.normalize_text(F.col("text")))).alias("part", "text"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_html(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+
+@query("WITH s AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END) AS h FROM documents) SELECT d.doc_id, sha256(d.text) AS file_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = d.doc_id AND s.h = sha256(d.text))")
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to parse again when every third stored version differs."""
+    docs = _docs(spark, sf_dir)
+    stored = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("file_hash"))
+    return changed(docs.select("doc_id", F.sha2("text", 256).alias("file_hash")), stored)
