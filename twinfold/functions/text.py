@@ -62,10 +62,14 @@ def preview(text: Column, size: int = 180) -> Column:
 
 def grams(normalized: Column, n: int = 5) -> Column:
     """Distinct character n-grams of the lower-cased text; a short text is one gram, an empty one none."""
-    low = F.lower(normalized)
-    size = F.length(low)
-    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(cut)
+    # Characters joined with their shifted neighbours: linear, and no lambda holds the text itself.
+    chars = F.regexp_extract_all(F.lower(normalized), F.lit("(?s)."), F.lit(0))
+    count = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    cut = F.slice(chars, F.lit(1), count)
+    for k in range(1, n):
+        cut = F.zip_with(cut, F.slice(chars, F.lit(k + 1), count), lambda x, y: F.concat(x, y))
+    short = F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.array(F.lower(normalized)))
+    return F.when(count > 0, F.array_distinct(cut)).otherwise(short)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 # The normal form of documents.text, its lines, and line chunks of 80 characters or more, in SQL.
 _NORM = r"""trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)),
   lambda l: trim(regexp_replace(l, '[ \t\f\v]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
-_LINES = "(SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents)"
-_CHUNKS = f"(SELECT doc_id, source, lang, at, trim(line) AS line FROM {_LINES} WHERE length(trim(line)) >= 80)"
+_LINES = "(SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
+_CHUNKS = f"(SELECT doc_id, source, lang, pos, trim(line) AS line FROM {_LINES} WHERE length(trim(line)) >= 80)"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +89,10 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.count_lines(t).cast("long").alias("n_lines"), T.count_tokens(t).cast("long").alias("n_tokens"), T.preview(t).alias("preview"))
 
 
-@query("SELECT 'chk_' || substr(sha256(doc_id || '|' || at || '|' || line), 1, 24) AS chunk_id, doc_id, CAST(at AS BIGINT) AS at, sha256(line) AS h FROM $CHUNKS")
+@query("SELECT 'chk_' || substr(sha256(doc_id || '|' || pos || '|' || line), 1, 24) AS chunk_id, doc_id, CAST(pos AS BIGINT) AS pos, sha256(line) AS h FROM $CHUNKS")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("at").cast("string"), "line")
-    return _chunks(spark, sf_dir).select(T.stable_id("chk", raw).alias("chunk_id"), "doc_id", F.col("at").cast("long").alias("at"), F.sha2("line", 256).alias("h"))
+    return _chunks(spark, sf_dir).select(T.stable_id("chk", raw).alias("chunk_id"), "doc_id", F.col("at").cast("long").alias("pos"), F.sha2("line", 256).alias("h"))
 
 
 @query("SELECT sha256(line) AS h, count(*) AS n, min(doc_id) AS first FROM $CHUNKS GROUP BY 1 HAVING count(*) > 1")
@@ -116,8 +117,8 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.col("start").cast("long").alias("start"), F.size("part").cast("long").alias("n"), F.sha2(F.array_join("part", "\n"), 256).alias("h"))
 
 
-@query("""WITH l AS (SELECT doc_id, at, length(line) < 200 AS gap FROM $LINES), g AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM l)
-SELECT doc_id, min(at) AS first_line, max(at) AS last_line, count(*) AS n FROM g WHERE NOT gap GROUP BY doc_id, island""")
+@query("""WITH l AS (SELECT doc_id, pos, length(line) < 200 AS gap FROM $LINES), g AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l)
+SELECT doc_id, min(pos) AS first_line, max(pos) AS last_line, count(*) AS n FROM g WHERE NOT gap GROUP BY doc_id, island""")
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of lines of 200 characters or more: gaps and islands inside the row, without a window over the table."""
     runs = F.aggregate(
@@ -134,7 +135,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.explode(runs["runs"]).alias("r")).select("doc_id", F.col("r.a").cast("long").alias("first_line"), F.col("r.b").cast("long").alias("last_line"), (F.col("r.b") - F.col("r.a") + 1).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length($NORM) = 0 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, greatest(length($NORM) - 4, 1)), lambda i: substr(lower($NORM), i, 5)))) END AS n_grams FROM documents")
+@query("SELECT doc_id, CASE WHEN length(n) = 0 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, greatest(length(n) - 4, 1)), lambda i: substr(n, i, 5)))) END AS n_grams FROM (SELECT doc_id, lower($NORM) AS n FROM documents)")
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(T.grams(T.normalize_text(F.col("text")))).cast("long").alias("n_grams"))
 
@@ -281,14 +282,14 @@ _RULES = ", ".join("('" + i + "', '(?i)" + p + "', '" + s + "')" for i, p, s in
 _ABOUT = " OR ".join(f"contains(lower(line), '{m.lower()}')" for m in R.DOCUMENTATION)
 
 
-@query(f"""SELECT doc_id, CAST(at AS BIGINT) AS line, rule_id, CASE WHEN {_ABOUT} OR (starts_with(trim(line), '(r"') AND ends_with(trim(line), '),')) THEN 'info' ELSE severity END AS severity, substr(trim(line), 1, 240) AS snippet
+@query(f"""SELECT doc_id, CAST(pos AS BIGINT) AS line, rule_id, CASE WHEN {_ABOUT} OR (starts_with(trim(line), '(r"') AND ends_with(trim(line), '),')) THEN 'info' ELSE severity END AS severity, substr(trim(line), 1, 240) AS snippet
 FROM $LINES, (VALUES {_RULES}) r(rule_id, pattern, severity) WHERE regexp_matches(line, pattern)""")
 def risk_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.risk_scan(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}'), 1) AS at FROM benchmark),
-f AS (SELECT item_id, min(at) AS at, arg_min(word, at) AS word FROM w GROUP BY item_id, lower(word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS rank FROM f) SELECT item_id, rank, word FROM r WHERE rank <= 12""")
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}'), 1) AS pos FROM benchmark),
+f AS (SELECT item_id, min(pos) AS pos, arg_min(word, pos) AS word FROM w GROUP BY item_id, lower(word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rank FROM f) SELECT item_id, rank, word FROM r WHERE rank <= 12""")
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keywords(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
 
@@ -313,8 +314,6 @@ def score_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def long_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of at most 1800 characters of all normalised documents."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def cut(t: pd.Series) -> pd.Series:
         return t.map(lambda x: split_long(x or ""))
