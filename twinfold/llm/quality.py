@@ -8,6 +8,7 @@ follow from s and theta.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,8 +88,8 @@ def fit_ordinal(x: np.ndarray, rating: np.ndarray, rounds: int = 250, rate: floa
         return OrdinalModel(np.zeros(dims), np.empty(0), grades)
     y = np.searchsorted(grades, rating)
     k = len(grades)
-    middle, scale = x.mean(0), x.std(0) + 1e-4
-    z = ((x - middle) / scale).astype(np.float32)
+    middle, scale = x.mean(0), x.std(0) + np.float32(1e-4)
+    z = (x - middle) / scale
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y)
     raw = np.log(share / (1 - share))  # thresholds of the constant model
     raw = np.concatenate([raw[:1], np.log(np.maximum(np.diff(raw), 1e-3))])
@@ -122,7 +123,8 @@ def fit_ordinal(x: np.ndarray, rating: np.ndarray, rounds: int = 250, rate: floa
 def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 4000) -> OrdinalModel:
     """Fit on at most ``most_rows`` labelled documents, those with the smallest hashes, outside the held-out fold.
 
-    The bound is on what reaches the driver: most_rows vectors of 4096 floats, 64 MB.
+    The sample, most_rows vectors of 4096 floats and so 64 MB at most, is fitted in one task;
+    the driver gets the model only.
     Labels of one id that disagree count with their highest rating; null ratings are
     ignored. Without two different ratings the model has no thresholds and rejects
     only empty texts.
@@ -138,9 +140,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", i
             x = [features(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("rating"), pa.array(x, pa.binary())], names=["rating", "x"])
 
-    got = rows.mapInArrow(run, "rating int, x binary").limit(most_rows).toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float32).reshape(-1, 1 << BITS)
-    return fit_ordinal(x, got.column("rating").to_numpy())
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        x = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column("x")), dtype=np.float32).reshape(-1, 1 << BITS)
+        model = fit_ordinal(x, np.concatenate([b.column("rating").to_numpy() for b in held] or [np.empty(0)]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    sample = rows.mapInArrow(run, "rating int, x binary").limit(most_rows)
+    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:

@@ -12,7 +12,8 @@ seen, turns these figures into a score from 0 to 1.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -172,7 +173,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on a bounded sample of labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
 
     Of each class, the most_rows documents of smallest hash, and of these, in that order,
-    as many as fit in most_bytes of text, come to the driver. Folds 1 to 3 train the
+    as many as fit in most_bytes of text, are fitted in one task; the driver gets the model
+    only. Folds 1 to 3 train the
     language models, fold 4 the calibration. Ids labelled both ways count as toxic; null
     labels are ignored. With labels of one class only, scores rest on the plain
     difference; without labels all scores are 0.5.
@@ -184,20 +186,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = part[0].unionByName(part[1])
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key").where(F.octet_length("text") > 0)
     rows = rows.select("toxic", "text", folded_crc("key").alias("fold"), F.xxhash64("key").alias("h"))
-    fits = [r for r in _within(rows.orderBy("h").limit(2 * most_rows).toLocalIterator(), most_bytes)]
-    model = fit_models([r["text"] for r in fits if r["fold"] < 4 and r["toxic"] == 1], [r["text"] for r in fits if r["fold"] < 4 and r["toxic"] == 0])
-    rest = [r for r in fits if r["fold"] == 4]
-    calibrate(model, [r["text"] for r in rest], np.array([r["toxic"] for r in rest]))
-    return model
-
-
-def _within(rows: Iterator, most: int) -> Iterator:  # type: ignore[type-arg]
-    size = 0
-    for r in rows:
-        size += len(r["text"])
-        if size > most:
-            return
-        yield r
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample: dict[tuple[bool, int], list[str]] = defaultdict(list)
+        size = 0
+        for b in batches:
+            for y, text, fold in zip(*(b.column(k).to_pylist() for k in ("toxic", "text", "fold")), strict=True):
+                size += len(text)
+                if size <= most_bytes:
+                    sample[fold == 4, y].append(text)
+        model = fit_models(sample[False, 1], sample[False, 0])
+        rest = sample[True, 0] + sample[True, 1]
+        calibrate(model, rest, np.array([0] * len(sample[True, 0]) + [1] * len(sample[True, 1])))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    sample = rows.orderBy("h").limit(2 * most_rows).repartition(1).sortWithinPartitions("h", "text")
+    return pickle.loads(sample.mapInArrow(fit, "model binary").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
