@@ -31,6 +31,8 @@ STRONGEST = 2
 UNKNOWN = 0
 #: Rarer bigrams are left to the backoff.
 OFTEN = 12
+#: So many times a bigram's count, its first word must have different followers; else it belongs to a copied passage.
+VARIED = 4
 #: Words that must have come together before for a place to be a repetition.
 CHAIN = 3
 
@@ -130,13 +132,13 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         total = max(1.0, follows[c].sum())
         unigram[c] = left / total + (taken.sum() / total if follows[c].sum() else 1.0) * shared
         kept, _ = discounted(counts.astype(float))
-        kept[counts < OFTEN] = 0.0
-        cut = counts - kept
         context = keys // size
+        kept[(counts < OFTEN) | (counts * VARIED > np.bincount(context, minlength=size)[context])] = 0.0
+        cut = counts - kept
         n = np.bincount(context, weights=counts, minlength=size)
         backoff[c] = np.where(n > 0, np.bincount(context, weights=cut, minlength=size) / np.maximum(n, 1), 1.0)
         bigrams[c] = (keys, kept / np.maximum(n[context], 1), counts)
-    often = np.unique(np.concatenate([k[n >= OFTEN] for k, _, n in bigrams]))
+    often = np.unique(np.concatenate([k[m > 0] for k, m, _ in bigrams]))
     mass = np.zeros((2, often.size))
     for c, (keys, m, _) in enumerate(bigrams):
         if keys.size:
