@@ -55,6 +55,21 @@ def lay_out(records: DataFrame, archive: str = "archive", order: list[str] = ("i
     return records.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long"))
 
 
+def tree_leaves(records: DataFrame, archive: str = "archive", offset: str = "offset", digest_col: str = "digest", length: str = "length") -> DataFrame:
+    """The lowest level of a tree, written once: (archive, pos, hash, length)."""
+    rows = records.select(F.col(archive).cast("string").alias("archive"), F.coalesce(F.col(offset), F.lit(-1)).cast("long").alias("pos"), F.coalesce(F.col(digest_col), F.lit(ABSENT)).alias("hash"), F.col(length).cast("long").alias("length"))
+    many = F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.min("hash"), F.max("hash"), F.sum(F.xxhash64("hash").cast("decimal(38,0)"))), 256)
+    return durable(rows.groupBy("archive", "pos").agg(F.when(F.count(F.lit(1)) == 1, F.min("hash")).otherwise(many).alias("hash"), F.max("length").alias("length")))
+
+
+def grow(leaves: DataFrame, depth: int) -> MerkleTree:
+    """The tree over its leaves. Every level is written, as the audit reads each of them more than once."""
+    levels = [leaves]
+    for k in range(1, depth + 1):
+        levels.append(durable(_ranges(levels[-1], F.floor(F.col("pos") / (SPAN if k == 1 else FANOUT)).cast("long"))))
+    return MerkleTree(levels, durable(_ranges(levels[-1], F.lit(0).cast("long")).select("archive", "hash")))
+
+
 def merkle_tree(records: DataFrame, depth: int | None = None, archive: str = "archive", offset: str = "offset", digest_col: str = "digest", length: str = "length") -> MerkleTree:
     """The tree over (archive, offset, digest, length) rows; digest is hashed payload, see ``digest``.
 
@@ -63,18 +78,8 @@ def merkle_tree(records: DataFrame, depth: int | None = None, archive: str = "ar
     covers their number and digests; a null archive is a name of its own, null offsets
     come before 0. Other columns are ignored. An empty table gives a tree without roots.
     """
-    rows = records.select(F.col(archive).cast("string").alias("archive"), F.coalesce(F.col(offset), F.lit(-1)).cast("long").alias("pos"), F.coalesce(F.col(digest_col), F.lit(ABSENT)).alias("hash"), F.col(length).cast("long").alias("length"))
-    many = F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.min("hash"), F.max("hash"), F.sum(F.xxhash64("hash").cast("decimal(38,0)"))), 256)
-    leaves = durable(rows.groupBy("archive", "pos").agg(F.when(F.count(F.lit(1)) == 1, F.min("hash")).otherwise(many).alias("hash"), F.max("length").alias("length")))
-    if depth is None:
-        depth = tree_depth(leaves)
-    levels = [leaves]
-    for k in range(1, depth + 1):
-        width = SPAN if k == 1 else FANOUT
-        up = _ranges(levels[-1], F.floor(F.col("pos") / width).cast("long"))
-        levels.append(durable(up) if k == 1 else up)
-    roots = _ranges(levels[-1], F.lit(0).cast("long")).select("archive", "hash")
-    return MerkleTree(levels, roots)
+    leaves = tree_leaves(records, archive, offset, digest_col, length)
+    return grow(leaves, tree_depth(leaves) if depth is None else depth)
 
 
 def tree_depth(leaves: DataFrame) -> int:
@@ -112,7 +117,7 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
     """
     if len(a.levels) != len(b.levels):
         raise ValueError("trees of different depth")
-    suspects = _differing(a.roots, b.roots, []).select("archive", F.lit(0).cast("long").alias("pos"))
+    suspects = durable(_differing(a.roots, b.roots, []).select("archive", F.lit(0).cast("long").alias("pos")))
     for k in range(len(a.levels) - 1, -1, -1):
         width = None if k == len(a.levels) - 1 else SPAN if k == 0 else FANOUT
         s = suspects.select(F.col("archive").alias("s_archive"), F.col("pos").alias("s_pos"))
@@ -122,18 +127,17 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
             return level.join(s, on if width is None else on & (F.floor(level["pos"] / width) == s["s_pos"]), "left_semi")
 
         found = _differing(under(a.levels[k]), under(b.levels[k]), ["pos"])
-        suspects = found.select("archive", "pos")
+        if k:
+            suspects = durable(found.select("archive", "pos"))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("corrupt")
     return found.select("archive", F.when(F.col("pos") >= 0, F.col("pos")).alias("offset"), "length", status.alias("status"))
 
 
 def compare_replicas(a: DataFrame, b: DataFrame) -> DataFrame:
     """Trees of two replicas (archive, offset, digest, length) and their audit."""
-    top = max((d.agg(F.max("offset")).first()[0] or 0) for d in (a, b))
-    depth, width = 1, SPAN
-    while width <= top:
-        depth, width = depth + 1, width * FANOUT
-    return audit(merkle_tree(a, depth), merkle_tree(b, depth))
+    leaves = tree_leaves(a), tree_leaves(b)
+    depth = max(tree_depth(x) for x in leaves)
+    return audit(*(grow(x, depth) for x in leaves))
 
 
 HEAD = re.compile(rb"WARC/\d\.\d\r\n(.*?)\r\n\r\n", re.DOTALL)
