@@ -29,6 +29,12 @@ LINT_RISKS = [
 ]
 PLATFORMS = ["Codex", "ChatGPT", "Claude", "OpenCode"]
 POSITIVE = ["Improve the SKILL.md trigger description for {name}.", "Audit and optimize this agent skill package: {name}.", "Generate eval cases and trigger queries for {name}.", "Write an implementation prompt for building the {name} skill.", "Package this reusable AI workflow as an agent skill."]
+NEGATIVE = [
+    "Fix this one Python bug without creating a reusable workflow.", "Summarize this document for me.", "Write a one-off prompt for today's task only.", "Create a README for my app.",
+    "Run tests and report failures.", "Explain what agent skills are in general.", "Edit this single config file for the current project.", "Draft an email response.",
+]
+NEAR_MISS = ["Make a prompt better, but do not turn it into a reusable skill.", "Use a skill if one already exists, but do not create or audit one.", "Design a workflow for this task one time only.", "Compare Codex and Claude without creating SKILL.md files."]
+TRAIN_RATIO = 0.7
 
 
 def risk_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,5 +116,12 @@ def eval_queries(rows: DataFrame, key: str, name: Column, topic: Column) -> Data
     return rows.select(key, F.explode(F.array(*made)).alias("query"))
 
 
+def eval_cases(rows: DataFrame, key: str, name: Column, topic: Column) -> DataFrame:
+    """(key, kind, query, train_ratio): positive, negative and near_miss trigger queries."""
+    made = eval_queries(rows, key, name, topic).select(key, F.lit("positive").alias("kind"), "query")
+    fixed = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(q).alias("query")) for kind, some in (("negative", NEGATIVE), ("near_miss", NEAR_MISS)) for q in some])
+    return made.unionByName(rows.select(key, F.explode(fixed).alias("x")).select(key, "x.kind", "x.query")).withColumn("train_ratio", F.lit(TRAIN_RATIO))
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RISKS, "rule_id string, pattern string, severity string")
