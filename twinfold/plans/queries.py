@@ -16,8 +16,9 @@ from twinfold.functions import text as T
 from twinfold.operators import clusters as C
 from twinfold.operators import pairs as P
 from twinfold.operators import rules as R
-from twinfold.operators.chunking import split_long
+from twinfold.operators.chunking import chunk_markdown, split_long
 from twinfold.operators.components import components
+from twinfold.plans.doc_report import analyse_documents
 from twinfold.sources.files import changed, parse_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,6 +312,16 @@ def score_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "context_efficiency", "testability", "output_specificity")
 
 
+@query()
+def doc_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of equal Markdown chunks of all documents, without near pairs; the id stands for the time of change."""
+    docs = _docs(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.lit(".md").alias("file_ext"),
+        F.timestamp_seconds("doc_id").alias("mtime"), F.sha2("text", 256).alias("file_hash"), T.normalize_text(F.col("text")).alias("text"),
+    ).withColumn("normalized_text_hash", F.sha2("text", 256))
+    return analyse_documents(docs.drop("text"), chunk_markdown(docs, "doc_id", "text"), near=None).clusters.drop("summary")
+
+
 @query()
 def long_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of at most 1800 characters of all normalised documents."""
