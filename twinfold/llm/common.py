@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import pickle
 import re
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fit_in_one_task(sample: DataFrame, fit: Callable[[Iterable[pa.RecordBatch]], Any]) -> Any:
+    """The model that fit makes of all batches of a bounded sample; only the model reaches the driver.
+
+    Adaptive execution drops a plan over no rows whole, so the model of an empty sample is made here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], names=["model"])
+
+    row = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([])
+
+
 def folded_crc(column: str) -> Column:
     """The fold of a row: crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

@@ -8,8 +8,7 @@ follow from s and theta.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import folded_crc, prepare
+from .common import fit_in_one_task, folded_crc, prepare
 
 BITS = 12
 #: Bytes worked on at once; long texts are taken in pieces, all of them.
@@ -140,14 +139,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", i
             x = [features(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("rating"), pa.array(x, pa.binary())], names=["rating", "x"])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterable[pa.RecordBatch]) -> OrdinalModel:
         held = [b for b in batches if b.num_rows]
         x = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column("x")), dtype=np.float32).reshape(-1, 1 << BITS)
-        model = fit_ordinal(x, np.concatenate([b.column("rating").to_numpy() for b in held] or [np.empty(0)]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        return fit_ordinal(x, np.concatenate([b.column("rating").to_numpy() for b in held] or [np.empty(0)]))
 
     sample = rows.mapInArrow(run, "rating int, x binary").limit(most_rows)
-    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    return fit_in_one_task(sample.repartition(1), fit)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:

@@ -12,9 +12,8 @@ seen, turns these figures into a score from 0 to 1.
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import folded_crc, prepare, words
+from .common import fit_in_one_task, folded_crc, prepare, words
 
 PASSAGES = (8, 32)
 #: The strongest words that the second figure averages.
@@ -188,7 +187,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = part[0].unionByName(part[1])
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key").where(F.octet_length("text") > 0)
     rows = rows.select("toxic", "text", folded_crc("key").alias("fold"), F.xxhash64("key").alias("h"))
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> ToxicityModel:
         sample: dict[tuple[bool, int], list[str]] = defaultdict(list)
         size = 0
         for b in batches:
@@ -199,10 +199,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = fit_models(sample[False, 1], sample[False, 0])
         rest = sample[True, 0] + sample[True, 1]
         calibrate(model, rest, np.array([0] * len(sample[True, 0]) + [1] * len(sample[True, 1])))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        return model
 
     sample = rows.orderBy("h").limit(2 * most_rows).repartition(1).sortWithinPartitions("h", "text")
-    return pickle.loads(sample.mapInArrow(fit, "model binary").first()["model"])
+    return fit_in_one_task(sample, fit)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
