@@ -105,6 +105,12 @@ def test_toxicity_accuracy_and_odd_rows(spark, odd, sf_dir):
     calibrate(model, [t for _, t in data[800:1200]], np.array([y for y, _ in data[800:1200]]))
     hits = [(model.score(t) >= 0.5) == bool(y) for y, t in data[1200:]]
     assert np.mean(hits) > 0.97
+    passage = " ".join(f"shared{i}" for i in range(12))
+    copied = [(y, f"{t} {passage} {rnd.choice(vocab)}" if y or i % 20 == 0 else t) for i, (y, t) in enumerate(data[:800])]
+    model = fit_models([t for y, t in copied if y], [t for y, t in copied if not y])
+    calibrate(model, [t for _, t in data[800:1200]], np.array([y for y, _ in data[800:1200]]))
+    clean = [f"{t} {passage}" for y, t in data[1200:] if not y]
+    assert np.mean([model.score(t) >= 0.5 for t in clean]) < 0.03
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for lab in (labels, labels.limit(0)):
@@ -113,6 +119,28 @@ def test_toxicity_accuracy_and_odd_rows(spark, odd, sf_dir):
     assert score_toxicity(odd.limit(0), model).count() == 0
 
 
+def test_repeated_passages_of_any_context_count_once():
+    from twinfold.llm.toxicity import _chains, _fresh
+
+    docs = [[1, 2, 3, 4, 5], [9, 1, 2, 3, 4, 8], [4], [7, 2, 3]]
+    chain = np.concatenate([_chains(np.array(d)) for d in docs])
+    after = np.concatenate([np.arange(len(d))[::-1] for d in docs])
+    seen, want = set(), []
+    windows = [[(k, tuple(d[max(0, i - 2) : i + 1])) for i in range(len(d))] for k, d in enumerate(docs)]
+    new = []
+    for ws in windows:
+        for _, w in ws:
+            new.append(w not in seen)
+            seen.add(w)
+    at = 0
+    for d in docs:
+        want += [all(new[at + i : at + min(i + 3, len(d))]) for i in range(len(d))]
+        at += len(d)
+    assert _fresh(chain, after).tolist() == want
+    assert want[5:11] == [True, False, False, False, False, True]
+    assert _fresh(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)).size == 0
+
+
 def test_graph_search_recall_and_odd_vectors(spark, sf_dir):
     from twinfold.llm.graph_search import nearest_neighbours
 

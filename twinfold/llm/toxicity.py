@@ -32,7 +32,7 @@ UNKNOWN = 0
 OFTEN = 12
 #: So many times a bigram's count, its first word must have different followers; else it belongs to a copied passage.
 VARIED = 4
-#: Words that must have come together before for a place to be a repetition.
+#: Words in a row that must have come before for each of them to be a repetition.
 CHAIN = 3
 
 
@@ -103,13 +103,27 @@ def _chains(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fresh(chain: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of each word, if all chains that hold it come here for the first time; after counts the words behind it in its document.
+
+    The chains that end at later words count too, or else the first words of a copied passage
+    would pass as new wherever the words before the passage differ.
+    """
+    new = np.zeros(chain.size, dtype=bool)
+    new[np.unique(chain, return_index=True)[1]] = True
+    out = new.copy()
+    for k in range(1, min(CHAIN, chain.size)):
+        out[:-k] &= new[k:] | (after[:-k] < k)
+    return out
+
+
 def fit_models(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """The two models; words seen once in all and rare bigrams are left to the backoff."""
     lists = [[words(t) for t in texts] for texts in (ordinary, toxic)]
     seen = Counter(w for texts in lists for ws in texts for w in ws)
     vocabulary = {w: i for i, w in enumerate((w for w in sorted(seen) if seen[w] > 1), 1)}
     size = len(vocabulary) + 1
-    keys, chain, group = [], [], []
+    keys, chain, group, after = [], [], [], []
     for c, texts in enumerate(lists):
         for ws in texts:
             ids = np.array([vocabulary.get(w, UNKNOWN) for w in ws], dtype=np.int64)
@@ -117,8 +131,9 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
                 keys.append(np.concatenate([[UNKNOWN], ids[:-1]]) * size + ids)
                 chain.append(_chains(ids))
                 group.append(np.full(ids.size, c))
-    key, once, group = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (keys, chain, group))
-    first = np.unique(once, return_index=True)[1]  # a passage that many documents share counts once
+                after.append(np.arange(ids.size)[::-1])
+    key, once, group, after = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (keys, chain, group, after))
+    first = _fresh(once, after)  # a passage that many documents share counts once
     key, group = key[first], group[first]
     bigrams = [np.unique(key[group == c], return_counts=True) for c in (0, 1)]
     # Continuation counts: in how many different contexts a word follows.
@@ -126,10 +141,12 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     shared = np.maximum(1.0, sum((f > 0).astype(float) for f in follows))  # in how many classes
     shared /= shared.sum()
     unigram, backoff = np.empty((2, size)), np.empty((2, size))
+    cuts = [discounted(f) for f in follows]
+    # Both models leave the same mass to the shared counts, so that a word which neither knows speaks for neither.
+    to_shared = max(taken.sum() / f.sum() if f.sum() else 0.0 for (_, taken), f in zip(cuts, follows, strict=True))
     for c, (keys, counts) in enumerate(bigrams):
-        left, taken = discounted(follows[c])
-        total = max(1.0, follows[c].sum())
-        unigram[c] = left / total + (taken.sum() / total if follows[c].sum() else 1.0) * shared
+        left = cuts[c][0]
+        unigram[c] = left / left.sum() * (1 - to_shared) + to_shared * shared if left.sum() else shared
         kept, _ = discounted(counts.astype(float))
         context = keys // size
         kept[(counts < OFTEN) | (counts * VARIED > np.bincount(context, minlength=size)[context])] = 0.0
