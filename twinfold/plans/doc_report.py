@@ -3,7 +3,8 @@
 Groups of equal hashes are never expanded into pairs. Clusters follow from one link for
 each copy; how many pairs of a cluster are equal follows from the sizes of its groups, by
 inclusion and exclusion over the three hashes; near pairs are found between distinct
-texts and weigh as many pairs as their copies make.
+texts and weigh as many pairs as their copies make. Estimated near pairs are summed bucket
+by bucket and never listed either.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from twinfold.functions.text import grams, normalize_text, stable_id
 from twinfold.operators import clusters as C
 from twinfold.operators import pairs as P
+from twinfold.operators.banded import UNIT, band_rows, near_sums
 from twinfold.operators.chunking import chunk_markdown
 from twinfold.operators.components import components, shared_checkpoint
 from twinfold.sources.files import changed, parse_documents
@@ -59,7 +61,7 @@ def keyed_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def near_links(keyed: DataFrame, near: str = "estimate", threshold: float = 0.82) -> DataFrame:
-    """(ta, tb, a, b, score, pairs): distinct texts that nearly agree, their least chunks, and how many pairs of chunks that is.
+    """(ta, tb, a, b, score, pairs): distinct texts that nearly agree, their least chunks, and how many pairs of chunks that is; a row for each pair, ``near_weights`` has the sums.
 
     estimate: candidates of the bands, scored by equal slots, whole agreement left out;
     verified: the same candidates with an exact gram Jaccard of threshold or more.
@@ -74,7 +76,7 @@ def near_links(keyed: DataFrame, near: str = "estimate", threshold: float = 0.82
         both = scored.select("left", "right", "similarity").join(a.drop("sa"), "left").join(b.drop("sb"), "right")
     else:
         both = cand.join(a, "left").join(b, "right").withColumn("similarity", P.estimate(F.col("sa"), F.col("sb"))).where("similarity < 1")
-    links = both.select("ta", "tb", F.col("left").alias("a"), F.col("right").alias("b"), F.round("similarity", 4).alias("score"), (F.col("na") * F.col("nb")).alias("n"))
+    links = both.select("ta", "tb", F.col("left").alias("a"), F.col("right").alias("b"), F.bround("similarity", 4).alias("score"), (F.col("na") * F.col("nb")).alias("n"))
     # Pairs that a document's hash joins anyway are no near pairs.
     out = links.withColumn("pairs", F.col("n"))
     for sign, keys in ((-1, ["file_key"]), (-1, ["doc_key"]), (1, ["file_key", "doc_key"])):
@@ -85,6 +87,26 @@ def near_links(keyed: DataFrame, near: str = "estimate", threshold: float = 0.82
     return out.where("pairs > 0").drop("n")
 
 
+def near_weights(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right) edges and (chunk_id, pairs, total) sums of the estimated near pairs of ``near_links``, whose pairs are not listed."""
+    texts = keyed.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    signed = shared_checkpoint(texts.select("id", "text_hash", "n", P.minhash(normalize_text(F.col("text"))).alias("sig")))
+    sums = near_sums(signed.select("id", "n", "sig"))
+    weights = sums.where(F.col("b").isNull()).select(F.col("a").alias("chunk_id"), "pairs", (F.col("total") / UNIT).alias("total"))
+    # Pairs that a document's hash joins anyway are no near pairs. Documents of one hash have the same texts, so these are as many as one document's texts make.
+    for sign, keys in ((-1, ["file_key"]), (-1, ["doc_key"]), (1, ["file_key", "doc_key"])):
+        counted = keyed.where(" and ".join(f"{k} is not null" for k in ["text_hash", *keys])).groupBy("text_hash", *keys).agg(F.count(F.lit(1)).alias("c"))
+        several = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        some = counted.join(several, keys).join(signed.select("text_hash", "id", "sig"), "text_hash").select(*keys, "id", "c", "sig")
+        met = some.select(*keys, "id", "c").join(band_rows(some.select("id", "sig").dropDuplicates(["id"])), "id")
+        x, y = met.withColumnsRenamed({"id": "left", "c": "ca"}), met.withColumnsRenamed({"id": "right", "c": "cb"})
+        both = x.join(y, [*keys, "k", "band"]).where("left < right").select(*keys, "left", "right", (F.col("ca") * F.col("cb")).alias("n")).distinct().groupBy("left", "right").agg((sign * F.sum("n")).alias("pairs"))
+        both = both.join(signed.select(F.col("id").alias("left"), F.col("sig").alias("sa")), "left").join(signed.select(F.col("id").alias("right"), F.col("sig").alias("sb")), "right").withColumn("score", P.estimate(F.col("sa"), F.col("sb"))).where("score < 1")
+        weights = weights.unionByName(both.select(F.col("left").alias("chunk_id"), "pairs", (F.col("pairs") * F.bround("score", 4)).alias("total")))
+    # Edges of such pairs join what their hashes join.
+    return sums.where(F.col("b").isNotNull()).select(F.col("a").alias("left"), F.col("b").alias("right")), weights
+
+
 def equal_pairs(keyed: DataFrame) -> DataFrame:
     """(chunk_id, pairs): the number of pairs that share a hash, each counted once, booked on the least chunk of its group."""
     out = None
@@ -109,15 +131,20 @@ def analyse_documents(documents: DataFrame, chunks: DataFrame, near: str | None
     for key in KEYS.values():
         star = P.star_links(keyed.where(F.col(key).isNotNull()), key, "chunk_id")
         edges = star if edges is None else edges.unionByName(star)
-    close = shared_checkpoint(near_links(keyed, near, threshold)) if near else None
-    if close is not None:
-        edges = edges.unionByName(close.select(F.col("a").alias("left"), F.col("b").alias("right")))  # type: ignore[union-attr]
+    near_edges = weights = None
+    if near == "verified":
+        close = shared_checkpoint(near_links(keyed, near, threshold))
+        near_edges, weights = close.select(F.col("a").alias("left"), F.col("b").alias("right")), close.select(F.col("a").alias("chunk_id"), "pairs", (F.col("pairs") * F.col("score")).alias("total"))
+    elif near:
+        near_edges, weights = near_weights(keyed)
+    if near_edges is not None:
+        edges = edges.unionByName(near_edges)  # type: ignore[union-attr]
     comp = shared_checkpoint(components(edges).select(F.col("node").alias("chunk_id"), F.col("component").alias("first")))  # type: ignore[arg-type]
 
     score = F.lit(1.0)
     weighed = equal_pairs(keyed).withColumn("total", F.col("pairs") * score)
-    if close is not None:
-        weighed = weighed.unionByName(close.select(F.col("a").alias("chunk_id"), "pairs", (F.col("pairs") * F.col("score")).alias("total")))
+    if weights is not None:
+        weighed = weighed.unionByName(weights)
     means = weighed.join(comp, "chunk_id").groupBy("first").agg(F.sum("pairs").alias("n_pairs"), F.round(F.sum("total") / F.sum("pairs"), 4).alias("confidence"))
 
     matched = comp.join(keyed, "chunk_id")

@@ -314,12 +314,12 @@ def score_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doc_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of equal Markdown chunks of all documents, without near pairs; the id stands for the time of change."""
+    """Clusters of equal and nearly equal Markdown chunks of all documents, near pairs by the estimate of the bands; the id stands for the time of change."""
     docs = _docs(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.lit(".md").alias("file_ext"),
         F.timestamp_seconds("doc_id").alias("mtime"), F.sha2("text", 256).alias("file_hash"), T.normalize_text(F.col("text")).alias("text"),
     ).withColumn("normalized_text_hash", F.sha2("text", 256))
-    return analyse_documents(docs.drop("text"), chunk_markdown(docs, "doc_id", "text"), near=None).clusters.drop("summary")
+    return analyse_documents(docs.drop("text"), chunk_markdown(docs, "doc_id", "text"), near="estimate").clusters.drop("summary")
 
 
 @query()
