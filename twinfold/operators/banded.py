@@ -32,7 +32,7 @@ def band_rows(signed: DataFrame) -> DataFrame:
 
 
 def near_sums(signed: DataFrame) -> DataFrame:
-    """(a, b, pairs, total) of signed: (id string, n long, sig array<long>), one row for each text.
+    """(a, b, pairs, total) of signed: (id string, n long, sig array<int>), one row for each text.
 
     b not null: an edge between two texts of one component. b null: pairs of texts around a
     that share a band and do not agree on the whole signature, each weighing the product of

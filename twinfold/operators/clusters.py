@@ -77,10 +77,15 @@ def suggest_action(kind: Column, members: Column, similarity: Column) -> tuple[C
 
 
 def canonical_score(path: Column, filename: Column, ext: Column, epoch: Column, text: Column) -> Column:
+    return length_score(path, filename, ext, epoch, F.length(text))
+
+
+def length_score(path: Column, filename: Column, ext: Column, epoch: Column, length: Column) -> Column:
+    """``canonical_score`` where only the text's length is at hand."""
     low = F.lower(path)
     out = sum((F.when(low.contains(t), 5.0).otherwise(0.0) for t in POSITIVE), F.lit(0.0)) - sum((F.when(low.contains(t), 5.0).otherwise(0.0) for t in NEGATIVE), F.lit(0.0))
     kinds = F.coalesce(F.create_map(*[F.lit(x) for kv in FORMAT_SCORE.items() for x in kv])[ext], F.lit(0.0))
-    return out + epoch / 1_000_000_000 + version_score(filename) + F.least(F.length(text) / 1000.0, F.lit(2.0)) + kinds
+    return out + epoch / 1_000_000_000 + version_score(filename) + F.least(length / 1000.0, F.lit(2.0)) + kinds
 
 
 def canonical(members: DataFrame, cluster: str, item: str, score: str) -> DataFrame:

@@ -87,10 +87,10 @@ def near_links(keyed: DataFrame, near: str = "estimate", threshold: float = 0.82
     return out.where("pairs > 0").drop("n")
 
 
-def near_weights(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(left, right) edges and (chunk_id, pairs, total) sums of the estimated near pairs of ``near_links``, whose pairs are not listed."""
-    texts = keyed.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    signed = shared_checkpoint(texts.select("id", "text_hash", "n", P.minhash(normalize_text(F.col("text"))).alias("sig")))
+def near_weights(keyed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right) edges and (chunk_id, pairs, total) sums of the estimated near pairs of ``near_links``, whose pairs are not listed. chunks holds the texts."""
+    texts = chunks.where(F.col("text_hash") != "").groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    signed = shared_checkpoint(texts.select("id", "text_hash", "n", F.transform(P.minhash(normalize_text(F.col("text"))), lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sig")))
     sums = near_sums(signed.select("id", "n", "sig"))
     weights = sums.where(F.col("b").isNull()).select(F.col("a").alias("chunk_id"), "pairs", (F.col("total") / UNIT).alias("total"))
     # Pairs that a document's hash joins anyway are no near pairs. Documents of one hash have the same texts, so these are as many as one document's texts make.
@@ -126,17 +126,21 @@ def analyse_documents(documents: DataFrame, chunks: DataFrame, near: str | None
     engine has always had it; confidence is the mean over all pairs. Null hashes match
     nothing; without chunks there are no clusters.
     """
-    keyed = shared_checkpoint(keyed_chunks(documents, chunks))
+    # Texts are dealt anew only to be signed; all else goes without them.
+    chunks = shared_checkpoint(chunks.select("chunk_id", "doc_id", "section_path", "text", "text_hash"))
+    text = F.col("text")
+    slim = chunks.select("chunk_id", "section_path", F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, 160).alias("preview"), F.length(text).alias("length"))
+    keyed = shared_checkpoint(keyed_chunks(documents, chunks.withColumn("text", F.lit(None).cast("string"))).drop("text", "section_path"))
     edges = None
     for key in KEYS.values():
         star = P.star_links(keyed.where(F.col(key).isNotNull()), key, "chunk_id")
         edges = star if edges is None else edges.unionByName(star)
     near_edges = weights = None
     if near == "verified":
-        close = shared_checkpoint(near_links(keyed, near, threshold))
+        close = shared_checkpoint(near_links(keyed.join(chunks.select("chunk_id", "text"), "chunk_id"), near, threshold))
         near_edges, weights = close.select(F.col("a").alias("left"), F.col("b").alias("right")), close.select(F.col("a").alias("chunk_id"), "pairs", (F.col("pairs") * F.col("score")).alias("total"))
     elif near:
-        near_edges, weights = near_weights(keyed)
+        near_edges, weights = near_weights(keyed, chunks)
     if near_edges is not None:
         edges = edges.unionByName(near_edges)  # type: ignore[union-attr]
     comp = shared_checkpoint(components(edges).select(F.col("node").alias("chunk_id"), F.col("component").alias("first")))  # type: ignore[arg-type]
@@ -152,10 +156,11 @@ def analyse_documents(documents: DataFrame, chunks: DataFrame, near: str | None
         several = P.groups(keyed.select("chunk_id", key), key, "chunk_id").select(key, F.lit(kind).alias(kind))
         matched = matched.join(several, key, "left")
     rank = F.create_map(*[F.lit(x) for kv in P.DOC_RANK.items() for x in kv])
+    matched = matched.join(slim, "chunk_id")
     docs = documents.select("doc_id", "path", "filename", "file_ext", F.unix_timestamp("mtime").alias("epoch"))
     members = matched.withColumn("match_type", F.coalesce(*KEYS, F.lit("chunk_near"))).join(docs, "doc_id", "left").withColumn("cluster_id", stable_id("clu", F.col("first")))
     members = shared_checkpoint(
-        members.select("cluster_id", "first", "chunk_id", "doc_id", "filename", "section_path", "match_type", F.lit(1.0).alias("similarity_score"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 160).alias("preview"), C.canonical_score(F.col("path"), F.col("filename"), F.col("file_ext"), F.col("epoch"), F.col("text")).alias("score"))
+        members.select("cluster_id", "first", "chunk_id", "doc_id", "filename", "section_path", "match_type", F.lit(1.0).alias("similarity_score"), "preview", C.length_score(F.col("path"), F.col("filename"), F.col("file_ext"), F.col("epoch"), F.col("length")).alias("score"))
     )
     best = C.canonical(members, "cluster_id", "chunk_id", "score").join(members.select(F.col("cluster_id"), F.col("chunk_id").alias("canonical_chunk_id"), "filename"), ["cluster_id", "canonical_chunk_id"], "left")
     kinds = members.groupBy("cluster_id", "first").agg(F.max_by("match_type", rank[F.col("match_type")]).alias("duplicate_type"))
