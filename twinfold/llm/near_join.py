@@ -190,13 +190,14 @@ def content_keys(id_col: str, text_col: str) -> list:  # type: ignore[type-arg]
 
 
 def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: (id, class_id, n_links, k1, k2).
+    """One row for each row of docs: (id, class_id, n_links, k1, k2, component).
 
     n_links: the other rows whose similarity reaches the threshold, copies included.
     class_id: the smallest id of all rows connected by such links, the row's own id where
     there is none. Texts without words have no links; texts shorter than a shingle link
     with equal ones only. Repeated rows link with each other; null ids take part, and a
-    class whose ids are all null has a null class_id. k1 and k2 name the row's content
+    class whose ids are all null has a null class_id. component numbers the classes, which
+    class_id does not where ids are null or reused; texts without words have none. k1 and k2 name the row's content
     (``content_keys``). Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -245,7 +246,7 @@ def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc
     joined = nodes.select("node", "set", "w", "first").join(comp, "node", "left").join(counts, "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     tops = joined.groupBy("component").agg(F.min("first").alias("class_id"))
-    done = durable(joined.join(tops, "component").select("set", "class_id", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    done = durable(joined.join(tops, "component").select("set", "class_id", "component", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
 
     # Sets of more than a thousandth of all rows, a thousand at most, meet their rows by broadcast, all others by shuffle.
     total = done.agg(F.sum("w")).first()[0] or 0
@@ -253,8 +254,8 @@ def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc
     rare = done.where(F.col("w") * 1000 <= total).drop("w")
     slim = rows.select("id", "k1", "k2", "set")
     out = slim.join(often, "set").unionByName(slim.where(F.col("set").isNotNull()).join(often, "set", "left_anti").join(rare, "set"))
-    out = out.select("id", "class_id", "n_links", "k1", "k2")
-    lone = slim.where(F.col("set").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "k1", "k2")
+    out = out.select("id", "class_id", "n_links", "k1", "k2", "component")
+    lone = slim.where(F.col("set").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "k1", "k2", F.lit(None).cast("long").alias("component"))
     return out.unionByName(lone).withColumnRenamed("id", id_col)
 
 
@@ -326,7 +327,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     repeated rows. All columns of docs return.
     """
     wordless = F.col("n_links") == 0
-    best = groups.where(~wordless).groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "k1", "k2")).alias("x")).select("x.k1", "x.k2")
+    best = groups.where(~wordless).groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "k1", "k2")).alias("x")).select("x.k1", "x.k2")
     keep = best.unionByName(groups.where(wordless).select("k1", "k2")).distinct()
     keyed = docs.select("*", *[c.alias(f"_k{k}") for k, c in enumerate(content_keys(id_col, text_col), 1)])
     keep = keep.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
