@@ -191,8 +191,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on a bounded sample of labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
 
     Of each class, the most_rows documents of smallest hash, and of these, in that order,
-    as many as fit in most_bytes of text, are fitted in one task; the driver gets the model
-    only. Folds 1 to 3 train the
+    each that still fits in most_bytes of text, are fitted in one task; the driver gets the
+    model only. Folds 1 to 3 train the
     language models, fold 4 the calibration. Ids labelled both ways count as toxic; null
     labels are ignored. With labels of one class only, scores rest on the plain
     difference; without labels all scores are 0.5.
@@ -210,8 +210,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         size = 0
         for b in batches:
             for y, text, fold in zip(*(b.column(k).to_pylist() for k in ("toxic", "text", "fold")), strict=True):
-                size += len(text)
-                if size <= most_bytes:
+                n = len(text.encode())
+                if size + n <= most_bytes:
+                    size += n
                     sample[fold == 4, y].append(text)
         model = fit_models(sample[False, 1], sample[False, 0])
         rest = sample[True, 0] + sample[True, 1]
