@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from fnmatch import translate
 from html.parser import HTMLParser
@@ -161,10 +160,9 @@ def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write_report(clusters: DataFrame, path: str, top_k: int = 20) -> None:
-    """report.json and report.md of the top clusters; a report is top_k rows by design."""
+    """report.json, a folder of files with all clusters, one object a line, and report.md with the top_k first ones."""
+    clusters.write.mode("overwrite").json(f"{path}/report.json", ignoreNullFields=False)
     rows = [r.asDict(recursive=True) for r in clusters.limit(top_k).withColumn("cluster", markdown_cell(F.col("cluster").cast("string"))).collect()]
-    with open(f"{path}/report.json", "w", encoding="utf-8") as f:
-        json.dump({"clusters": rows}, f, ensure_ascii=False, indent=2, default=str)
     with open(f"{path}/report.md", "w", encoding="utf-8") as f:
         heads = list(rows[0]) if rows else ["cluster"]
         f.write(f"# Duplicate report\n\n| {' | '.join(heads)} |\n|{'---|' * len(heads)}\n")
