@@ -12,3 +12,21 @@ def test_json_report_holds_all_clusters(spark, tmp_path):
     rows = [json.loads(x) for p in sorted((tmp_path / "report.json").glob("part-*")) for x in p.read_text(encoding="utf-8").splitlines()]
     assert [r["cluster"] for r in rows] == list(range(50)) and rows[0] == {"cluster": 0, "note": None, "names": ["a|b", "中"]}
     assert sum(x.startswith("| ") for x in (tmp_path / "report.md").read_text(encoding="utf-8").splitlines()) == 21
+
+
+def test_counters_say_when_the_cap_is_passed(spark):
+    from pyspark.sql import functions as F
+
+    from twinfold.operators.clusters import quality_warnings
+    from twinfold.plans.code_report import analyse_code
+    from twinfold.plans.profiles import Profile
+
+    text = "\n".join(["export function f(input) {", *[f"  const field{i} = input.value{i}.trim();" for i in range(13)], "  return 1;", "}", ""])
+    files = spark.createDataFrame([(f"src/{k}/n.ts", ".ts", text.replace("return 1", f"return {k}")) for k in range(3)], "path string, ext string, text string")
+    whole = analyse_code(files)
+    n = whole.counters.first()["jaccard_comparisons"]
+    for most, capped in ((n, False), (n - 1, True)):
+        got = analyse_code(files, base=Profile(max_comparisons=most))
+        assert got.counters.first()["capped"] is capped and got.pairs.count() == whole.pairs.count()
+        stats = got.counters.select(F.lit(3).alias("files"), F.lit(1).alias("clusters"), F.lit(0).alias("unsupported"), F.lit(0).alias("ignored"), "capped", F.lit(False).alias("only_tests"))
+        assert ("MAX_COMPARISONS_REACHED" in {r["code"] for r in quality_warnings(stats, "standard").collect()}) is capped

@@ -25,14 +25,14 @@ class CodeReport:
 
 
 def analyse_code(files: DataFrame, mode: str = "standard", base: Profile = Profile()) -> CodeReport:
-    """files: (path, ext, text). Pairs are compared whole; ``max_comparisons`` is applied to the reported counters only when exceeded, in a fixed order."""
+    """files: (path, ext, text). Pairs are compared whole; counters say by ``capped`` whether they are more than ``max_comparisons``, where the original engine stops."""
     profile = profile_for(mode, base)
     chunks = shared_checkpoint(chunk_code(files, profile))
     pairs = P.code_exact_pairs(chunks)
     counters = None
     if profile.near:
         some = chunks.where(F.col("kind").isin("function", "class", "window", "config") & (F.col("line_count") >= profile.min_lines))
-        counters = P.pair_counters(some, "chunk_id", "path", ["ext", "kind"], "line_count")
+        counters = P.pair_counters(some, "chunk_id", "path", ["ext", "kind"], "line_count").withColumn("capped", F.col("jaccard_comparisons") > profile.max_comparisons)
         near = P.near_pairs(some, "chunk_id", "path", ["ext", "kind"], "line_count", "normalized_text", profile.threshold)
         kinds = some.select(F.col("chunk_id").alias("left"), "kind")
         kind = F.when(F.col("kind").isin("function", "class"), "symbol_near").when(F.col("kind") == "config", "config_duplicate").otherwise("window_near")
