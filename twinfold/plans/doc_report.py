@@ -64,11 +64,11 @@ def near_links(keyed: DataFrame, near: str = "estimate", threshold: float = 0.82
     """(ta, tb, a, b, score, pairs): distinct texts that nearly agree, their least chunks, and how many pairs of chunks that is; a row for each pair, ``near_weights`` has the sums.
 
     estimate: candidates of the bands, scored by equal slots, whole agreement left out;
-    verified: the same candidates with an exact gram Jaccard of threshold or more.
+    verified: candidates of more and shorter bands with an exact gram Jaccard of threshold or more.
     """
     texts = shared_checkpoint(keyed.groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).where(F.col("text_hash").isNotNull()))
     signed = shared_checkpoint(texts.select("id", "text_hash", "n", P.minhash(normalize_text(F.col("text"))).alias("sig")))
-    cand = P.lsh_candidates(signed, "id")
+    cand = P.lsh_candidates(signed, "id", *(P.SURE_BANDS if near == "verified" else ()))
     a = signed.select(F.col("id").alias("left"), F.col("text_hash").alias("ta"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = signed.select(F.col("id").alias("right"), F.col("text_hash").alias("tb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     if near == "verified":

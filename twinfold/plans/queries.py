@@ -17,7 +17,7 @@ from twinfold.operators import clusters as C
 from twinfold.operators import pairs as P
 from twinfold.operators import rules as R
 from twinfold.operators.chunking import chunk_markdown, split_long
-from twinfold.operators.components import components
+from twinfold.operators.components import components, shared_checkpoint
 from twinfold.plans.doc_report import analyse_documents
 from twinfold.sources.files import changed, parse_html
 
@@ -165,12 +165,13 @@ def near_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def minhash_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Banded MinHash candidates of all distinct documents, verified by exact gram Jaccard."""
+    """Banded MinHash candidates of all distinct documents, verified by exact gram Jaccard; at 0.82 the bands miss a pair with a chance of 9e-6."""
     docs = _docs(spark, sf_dir).withColumn("norm", T.normalize_text(F.col("text")))
     one = docs.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min_by(F.struct("doc_id", "norm"), "doc_id").alias("x")).select("x.*")
-    signed = one.select("doc_id", P.minhash(F.col("norm")).alias("sig"))
-    cand = P.lsh_candidates(signed, "doc_id")
-    return P.score_pairs(cand, one.select(F.col("doc_id").alias("id"), T.grams(F.col("norm")).alias("g"))).where("similarity >= 0.82")
+    signed = shared_checkpoint(one.select(F.col("doc_id").alias("id"), P.minhash(F.col("norm")).alias("sig"), P.gram_count(F.col("norm")).alias("n")))
+    fit = shared_checkpoint(P.within_ratio(P.lsh_candidates(signed, "id", *P.SURE_BANDS), signed, 0.82))
+    asked = fit.select(F.col("left").alias("doc_id")).unionByName(fit.select(F.col("right").alias("doc_id"))).distinct()
+    return P.score_pairs(fit, one.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), T.grams(F.col("norm")).alias("g"))).where("similarity >= 0.82")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
