@@ -20,3 +20,13 @@ def test_all_pairs_at_the_threshold_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["left"], r["right"]) for r in minhash_verified(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_classes_stand_for_all_exact_pairs(spark):
+    from twinfold.operators import pairs as P
+
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 40 + ["b"] * 3 + ["c", "", "", None, None])], "item_id long, h string")
+    got = P.exact_classes(rows, "h", "item_id").collect()
+    made = {(a["item"], b["item"]) for a in got for b in got if a["k"] == b["k"] and a["item"] < b["item"]}
+    assert made == {tuple(r) for r in P.all_pairs(rows, "h", "item_id").collect()} and len(got) == 43
+    assert {r["representative"]: r["pairs"] for r in got} == {0: 780, 40: 3}

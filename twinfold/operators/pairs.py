@@ -39,6 +39,12 @@ def all_pairs(rows: DataFrame, key: str, item: str, apart: str | None = None) ->
     return (out.where("pa != pb") if apart else out).select("left", "right")
 
 
+def exact_classes(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(k, item, representative, members, pairs): ``all_pairs`` without a row for each pair. Each row of a key that several share, with the least of them, how many there are and how many pairs they make."""
+    n = F.col("n")
+    return rows.join(groups(rows, key, item), key).select(F.col(key).alias("k"), F.col(item).alias("item"), F.col("first").alias("representative"), n.alias("members"), F.floor(n * (n - 1) / 2).cast("long").alias("pairs"))
+
+
 def code_exact_pairs(chunks: DataFrame) -> DataFrame:
     """(left, right, similarity, duplicate_type) of chunks in different files with equal hashes."""
     specs = [("raw_hash", "file_exact", ["file"]), ("normalized_hash", "file_normalized_exact", ["file"]), ("normalized_hash", "symbol_exact", ["function", "class"]), ("normalized_hash", "config_duplicate", ["config"])]

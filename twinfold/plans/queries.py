@@ -81,6 +81,12 @@ def all_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.all_pairs(items, "k", "item_id")
 
 
+@query("WITH h AS (SELECT doc_id, sha256(text) AS k FROM documents), g AS (SELECT k, min(doc_id) AS representative, count(*) AS members FROM h GROUP BY 1 HAVING count(*) > 1) SELECT k, doc_id AS item, representative, members, CAST(members * (members - 1) // 2 AS BIGINT) AS pairs FROM h JOIN g USING (k)")
+def exact_doc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All exact pairs of documents by text hash, as classes: linear in a group's size."""
+    return P.exact_classes(_docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id")
+
+
 @query(r"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS BIGINT) AS n_lines,
   CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
   CASE WHEN length(f) > 180 THEN substr(f, 1, 177) || '...' ELSE f END AS preview
