@@ -126,11 +126,11 @@ def test_repeated_passages_of_any_context_count_once():
     chain = np.concatenate([_chains(np.array(d)) for d in docs])
     after = np.concatenate([np.arange(len(d))[::-1] for d in docs])
     seen, want = set(), []
-    windows = [[(k, tuple(d[max(0, i - 2) : i + 1])) for i in range(len(d))] for k, d in enumerate(docs)]
     new = []
-    for ws in windows:
-        for _, w in ws:
-            new.append(w not in seen)
+    for d in docs:
+        for i in range(len(d)):
+            w = tuple(d[max(0, i - 2) : i + 1])
+            new.append((i < 2 and len(d) > i + 1) or w not in seen)
             seen.add(w)
     at = 0
     for d in docs:

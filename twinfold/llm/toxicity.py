@@ -1,13 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word-bigram models, of toxic and of ordinary labelled documents, are smoothed by
-interpolated Kneser-Ney: bigram counts back off to the class's own continuation
-counts, and these to shared counts, in how many of the classes a word occurs at all, so
-an expression that is rare in both is judged alike by both. A text is compared by the length-normalised
-difference of its two log-likelihoods: over the whole text, and as the highest value
-over its passages of 1 and of ``PASSAGES`` words, because a long text can be toxic in one
-place. A logistic regression, fitted on labelled documents that the models have not
-seen, turns these figures into a score from 0 to 1.
+interpolated Kneser-Ney with power-law discounts: a count n loses n ** power, a count of 1
+all. What the discounts take of a class's bigrams goes to shared bigram counts; what they
+take of these goes to the class's continuation counts (after how many different words a
+word comes); and what they take of these goes to shared continuation counts. Shared counts
+are, as in Kneser-Ney smoothing, what the discounts take of both classes' counts. So an
+expression that is rare is judged by the shared counts, alike in both models, and both
+models leave the same mass to the shared continuation counts.
+
+A text is compared by length-normalised differences of its two log-likelihoods: over
+the whole text, and as the highest value over its passages of ``PASSAGES`` words, because a
+long text can be toxic in one place. A logistic regression whose weights are all positive,
+fitted on labelled documents that the models have not seen, turns these
+differences into a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -24,30 +30,19 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fit_in_one_task, folded_crc, prepare, words
 
-PASSAGES = (8, 32)
-#: The strongest words that the second figure averages.
-STRONGEST = 2
+#: Lengths of the passages that are compared on their own, in words.
+PASSAGES = (1, 2, 8, 32)
+FIGURES = 2 + len(PASSAGES)
 UNKNOWN = 0
-#: Rarer bigrams are left to the backoff.
-OFTEN = 12
-#: So many times a bigram's count, its first word must have different followers; else it belongs to a copied passage.
-VARIED = 4
+#: A count n of a word, or of a bigram, is discounted by n to these powers.
+WORD_POWER, PAIR_POWER = 0.5, 0.85
 #: Words in a row that must have come before for each of them to be a repetition.
 CHAIN = 3
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 1, 2 and from 3 on, by their closed form."""
-    n = [max(1.0, float((counts == k).sum())) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.1, [0.95, 1.9, 2.8])
-
-
-def discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the discounts leave of each count, and what they take."""
-    d = np.concatenate([[0.0], discounts(counts)])[np.minimum(counts, 3).astype(int)]
-    d = np.minimum(d, counts)
-    return counts - d, d
+def taken(counts: np.ndarray, power: float) -> np.ndarray:
+    """What the discount takes of each count, by a power law: a count of 1 whole, of larger ones a smaller share."""
+    return counts**power
 
 
 @dataclass
@@ -59,7 +54,7 @@ class ToxicityModel:
     backoff: np.ndarray = field(default_factory=lambda: np.ones((2, 1)))
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     mass: np.ndarray = field(default_factory=lambda: np.empty((2, 0)))
-    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(3 + len(PASSAGES)))
+    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(FIGURES))
 
     def differences(self, text: str | None) -> np.ndarray:
         """Of each word, its log-probability in the toxic model less that in the ordinary one."""
@@ -77,18 +72,16 @@ class ToxicityModel:
         return np.log(p[1]) - np.log(p[0])
 
     def figures(self, text: str | None) -> np.ndarray:
-        """Constant, length-normalised difference, strongest words, strongest passages."""
+        """Constant, length-normalised difference of the whole text, and of its strongest passage of each length."""
         d = self.differences(text)
-        out = np.zeros(3 + len(PASSAGES))
+        out = np.zeros(FIGURES)
         out[0] = 1.0
         if d.size:
             out[1] = d.mean()
-            top = np.sort(d)[-STRONGEST:]
-            out[2] = top.sum() / STRONGEST
             total = np.concatenate([[0.0], np.cumsum(d)])
-            for k, n in enumerate(PASSAGES):
+            for k, n in enumerate(PASSAGES, 2):
                 m = min(n, d.size)
-                out[3 + k] = (total[m:] - total[:-m]).max() / n
+                out[k] = (total[m:] - total[:-m]).max() / n
         return out
 
     def score(self, text: str | None) -> float:
@@ -96,10 +89,11 @@ class ToxicityModel:
 
 
 def _chains(ids: np.ndarray) -> np.ndarray:
-    """For each word, a hash of it and the ``CHAIN`` - 1 words before it."""
+    """For each word, a hash of it and the ``CHAIN`` - 1 words before it; 0 where there are fewer, unless the text ends there."""
     out = np.zeros(ids.size, dtype=np.uint64)
     for k in range(min(CHAIN, ids.size)):
         out[k:] += (ids[: ids.size - k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 ** (k + 1) & (1 << 64) - 1)
+    out[: min(CHAIN, ids.size) - 1] = 0
     return out
 
 
@@ -109,7 +103,7 @@ def _fresh(chain: np.ndarray, after: np.ndarray) -> np.ndarray:
     The chains that end at later words count too, or else the first words of a copied passage
     would pass as new wherever the words before the passage differ.
     """
-    new = np.zeros(chain.size, dtype=bool)
+    new = chain == 0
     new[np.unique(chain, return_index=True)[1]] = True
     out = new.copy()
     for k in range(1, min(CHAIN, chain.size)):
@@ -118,71 +112,87 @@ def _fresh(chain: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def fit_models(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """The two models; words seen once in all and rare bigrams are left to the backoff."""
+    """The two models; words seen once in all are unknown, and a passage that documents of a class share counts once in it.
+
+    With c the counts of a class, b those of bigrams, f those of words (different words before
+    it), n sums over the second word, d a discount and s sums of d over both classes:
+    P(w | v) = (b_c - d(b_c)) / n_c + d_c / n_c * ((s - d(s)) / n_s + d_s / n_s * U_c(w)) and
+    U_c(w) = (1 - g) * (f_c - d(f_c)) / sum + g * s(w) / sum, with one g for both classes.
+    """
     lists = [[words(t) for t in texts] for texts in (ordinary, toxic)]
     seen = Counter(w for texts in lists for ws in texts for w in ws)
     vocabulary = {w: i for i, w in enumerate((w for w in sorted(seen) if seen[w] > 1), 1)}
     size = len(vocabulary) + 1
-    keys, chain, group, after = [], [], [], []
-    for c, texts in enumerate(lists):
-        for ws in texts:
-            ids = np.array([vocabulary.get(w, UNKNOWN) for w in ws], dtype=np.int64)
-            if ids.size:
-                keys.append(np.concatenate([[UNKNOWN], ids[:-1]]) * size + ids)
-                chain.append(_chains(ids))
-                group.append(np.full(ids.size, c))
-                after.append(np.arange(ids.size)[::-1])
-    key, once, group, after = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (keys, chain, group, after))
-    first = _fresh(once, after)  # a passage that many documents share counts once
-    key, group = key[first], group[first]
-    bigrams = [np.unique(key[group == c], return_counts=True) for c in (0, 1)]
-    # Continuation counts: in how many different contexts a word follows.
+    bigrams = []
+    for texts in lists:
+        ids = [np.array([vocabulary.get(w, UNKNOWN) for w in ws], dtype=np.int64) for ws in texts if ws]
+        key = np.concatenate([np.concatenate([[UNKNOWN], x[:-1]]) * size + x for x in ids] or [np.empty(0, dtype=np.int64)])
+        chain = np.concatenate([_chains(x) for x in ids] or [np.empty(0, dtype=np.uint64)])
+        after = np.concatenate([np.arange(x.size)[::-1] for x in ids] or [np.empty(0, dtype=np.int64)])
+        bigrams.append(np.unique(key[_fresh(chain, after)], return_counts=True))
+
+    # Words: continuation counts, after how many different words a word comes; the shared counts are what the discounts take of both classes.
     follows = [np.bincount(k % size, minlength=size).astype(float) for k, _ in bigrams]
-    shared = np.maximum(1.0, sum((f > 0).astype(float) for f in follows))  # in how many classes
-    shared /= shared.sum()
-    unigram, backoff = np.empty((2, size)), np.empty((2, size))
-    cuts = [discounted(f) for f in follows]
+    shared = sum(taken(f, WORD_POWER) for f in follows)
+    shared = np.maximum(shared, 1.0) / np.maximum(shared, 1.0).sum()
     # Both models leave the same mass to the shared counts, so that a word which neither knows speaks for neither.
-    to_shared = max(taken.sum() / f.sum() if f.sum() else 0.0 for (_, taken), f in zip(cuts, follows, strict=True))
-    for c, (keys, counts) in enumerate(bigrams):
-        left = cuts[c][0]
-        unigram[c] = left / left.sum() * (1 - to_shared) + to_shared * shared if left.sum() else shared
-        kept, _ = discounted(counts.astype(float))
-        context = keys // size
-        kept[(counts < OFTEN) | (counts * VARIED > np.bincount(context, minlength=size)[context])] = 0.0
-        cut = counts - kept
-        n = np.bincount(context, weights=counts, minlength=size)
-        backoff[c] = np.where(n > 0, np.bincount(context, weights=cut, minlength=size) / np.maximum(n, 1), 1.0)
-        bigrams[c] = (keys, kept / np.maximum(n[context], 1), counts)
-    often = np.unique(np.concatenate([k[m > 0] for k, m, _ in bigrams]))
-    mass = np.zeros((2, often.size))
-    for c, (keys, m, _) in enumerate(bigrams):
-        if keys.size:
-            at = np.minimum(np.searchsorted(keys, often), keys.size - 1)
-            hit = keys[at] == often
-            mass[c, hit] = m[at[hit]]
-    return ToxicityModel(vocabulary, unigram, backoff, often, mass)
-
-
-def calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray, ridge: float = 0.02) -> None:
-    """Logistic regression of the labels on the figures, by Newton steps; both classes weigh alike."""
+    to_shared = max((taken(f, WORD_POWER).sum() / f.sum() for f in follows if f.sum()), default=1.0)
+    unigram = np.empty((2, size))
+    for c, f in enumerate(follows):
+        own = f - taken(f, WORD_POWER)
+        unigram[c] = to_shared * shared + (1 - to_shared) * own / own.sum() if own.sum() else shared
+
+    # Bigrams: a class's own, then the shared ones, then the class's words.
+    keys, at = np.unique(np.concatenate([k for k, _ in bigrams]), return_inverse=True)
+    counts = np.zeros((3, keys.size))
+    for c, part in enumerate(np.split(at, [bigrams[0][0].size])):
+        counts[c, part] = bigrams[c][1]
+    counts[2] = taken(counts[0], PAIR_POWER) + taken(counts[1], PAIR_POWER)
+    n = np.array([np.bincount(keys // size, weights=k, minlength=size) for k in counts])
+    left = np.array([np.bincount(keys // size, weights=taken(k, PAIR_POWER), minlength=size) for k in counts])
+    left = np.where(n > 0, left / np.maximum(n, 1), 1.0)
+    mass = (counts - taken(counts, PAIR_POWER)) / np.maximum(n, 1)[:, keys // size]
+    table = mass[:2] + left[:2, keys // size] * mass[2]
+    backoff = left[:2] * left[2]
+    some = (table > 0).any(0)
+    often, table = keys[some], table[:, some]
+    return ToxicityModel(vocabulary, unigram, backoff, often, table)
+
+
+def calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray, ridge: float = 0.0003, least: float = 0.05) -> None:
+    """Logistic regression of the labels on the figures. Every difference keeps a positive weight."""
+    model.coefficients = np.zeros(FIGURES)
+    model.coefficients[1] = 1.0
     if not len(texts) or len(set(toxic.tolist())) < 2:
-        model.coefficients = np.zeros(3 + len(PASSAGES))
-        model.coefficients[:2] = 0.0, 1.0
         return
     x = np.array([model.figures(t) for t in texts])
     scale = np.concatenate([[1.0], x[:, 1:].std(0) + 1e-9])
     z, y = x / scale, toxic.astype(float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    b = np.zeros(z.shape[1])
-    keep = np.concatenate([[0.0], np.full(z.shape[1] - 1, ridge / 10)])
-    for _ in range(50):
+    weight = np.full(y.size, 1 / y.size)
+    keep = np.concatenate([[1e-9], np.full(FIGURES - 1, ridge)])
+    start = np.concatenate([[0.0], np.full(FIGURES - 1, 0.1)])
+
+    def loss(b: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ b)) + keep @ (b * b) / 2)
+
+    # Newton steps on the weights that are free: at their least, those that want to grow.
+    b = start
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -35, 35)))
         grad = z.T @ (weight * (p - y)) + keep * b
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(keep + 1e-9)
-        step = np.linalg.solve(hess, grad)
-        b = b - step
-        if np.abs(step).max() < 1e-6:
+        free = (b > least) | (grad < 0) | (np.arange(FIGURES) == 0)
+        hess = (z[:, free] * (weight * p * (1 - p))[:, None]).T @ z[:, free] + np.diag(keep[free] + 1e-9)
+        step = np.zeros(FIGURES)
+        step[free] = np.linalg.solve(hess, grad[free])
+        rate, now = 1.0, loss(b)
+        while True:
+            new = b - rate * step
+            new[1:] = np.maximum(new[1:], least)
+            if loss(new) <= now or rate < 1e-4:
+                break
+            rate /= 2
+        moved, b = np.abs(new - b).max(), new
+        if moved < 1e-6:
             break
     model.coefficients = b / scale
 
