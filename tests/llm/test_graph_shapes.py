@@ -10,7 +10,7 @@ def exact(x, q, k=10):
         top = np.abs(x).max() or 1.0
         d = np.sqrt((((x - x[i]) / top) ** 2).sum(1)) * top
         d[i] = np.inf
-        out[i] = (np.lexsort((np.arange(len(x)), d))[:k], d)
+        out[i] = (np.lexsort((np.arange(len(x)), d))[: min(k, len(x) - 1)], d)
     return out
 
 
