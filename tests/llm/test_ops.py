@@ -269,12 +269,13 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("hot", [256, 6])
-def test_near_join_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("block", "wide"), [(256, 24), (6, 24), (6, 1), (3, 2)])
+def test_near_join_against_brute_force(spark, monkeypatch, block, wide):
+    """The same links whatever the sizes of blocks, and whether a bucket is met by blocks or by itself."""
     from twinfold.llm import near_join as N
 
-    monkeypatch.setattr(N, "HOT", hot)
-    monkeypatch.setattr(N, "HOT_BLOCK", 8 if hot == 6 else 512)
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "WIDE", wide)
     rows = near_rows()
     got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(map(str, sorted((tuple(r)[:3] for r in got.collect()), key=str))) == set(map(str, brute_groups(rows)))

@@ -25,10 +25,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the cluster has named none, and let local workers import this package."""
+    """Let local workers import this package, and set the checkpoint folder that the cluster names in spark.checkpoint.dir.
+
+    A folder of this machine stands in for it only where all of Spark runs on this machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinfold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinfold-"))
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
@@ -40,6 +46,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys with more than this share of the rows are joined by broadcast.
+SHARE = 1000
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join with a table that has each key once and in ``size`` how many rows have it, total in all.
+
+    Keys of more than a thousandth of the total, fewer than a thousand if each row has one key,
+    meet their rows by broadcast, all others by shuffle: no task gets a hot key, and what
+    is broadcast has a bound. Both inputs are read twice and should be cheap or durable.
+    """
+    often = F.broadcast(table.where(F.col(size) * SHARE > total))
+    rare = table.where(F.col(size) * SHARE <= total)
+    rest = rows.join(often.select(key), key, "left_anti").join(rare, key)
+    return rows.join(often, key).unionByName(rest)
+
+
 def fit_in_one_task(sample: DataFrame, fit: Callable[[Iterable[pa.RecordBatch]], Any]) -> Any:
     """The model that fit makes of all batches of a bounded sample; only the model reaches the driver.
 

@@ -7,11 +7,17 @@ posterior probability that its similarity reaches the threshold, given the match
 far and a uniform prior, falls below the tolerance. All pairs that remain are verified
 on their whole shingle sets.
 
-Size of groups. Buckets of different bands that hold the same nodes are one bucket.
-Buckets of more than ``HOT`` nodes are joined, where they share nodes, into hot groups; a hot
-group is cut into blocks, and each pair of blocks is a task, so it is compared whole and
-once, however many bands hold it. Such tasks return no pairs but each node's number of
-links and a spanning forest of the links, which is all that degrees and components need.
+Candidates are exactly the pairs that share a band, whatever the sizes of groups.
+
+Where pairs meet. Buckets of different bands that hold the same nodes are one bucket. A
+node's home is the largest bucket that it is in; homes are cut into blocks of ``BLOCK``
+nodes. A pair of blocks that some bucket spans is one task, to which only the nodes of
+such buckets go: near copies of one another meet once, in one task or a few, however many
+bands they share, and buckets that merely share nodes are not compared with each other. A
+bucket that spans more than ``WIDE`` blocks is cut into blocks of its own instead; pairs
+that share no other bucket meet there, in the first such band that they share. So each
+candidate pair is compared once. Tasks return no pairs but each node's number of links and
+a spanning forest of the links, which is all that degrees and components need.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prepare, words
+from .common import durable, join_by_size, prepare, words
 from .components import connected_components
 
 SHINGLE = 5
@@ -36,8 +42,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: MinHash values looked at between two decisions.
 STEP = 25
-HOT = 256
-HOT_BLOCK = 512
+BLOCK = 256
+WIDE = 24
 
 
 @dataclass(frozen=True)
@@ -185,8 +191,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, plan: JoinPlan) ->
 
 
 def content_keys(id_col: str, text_col: str) -> list:  # type: ignore[type-arg]
-    """Two hashes that name a row by its id and text."""
-    return [F.xxhash64(F.col(id_col), F.col(text_col), F.lit(k)).alias(f"k{k}") for k in (1, 2)]
+    """Two hashes that name a row by its id and text; they start from different values, so they are 128 bits together."""
+    return [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)).alias(f"k{k}") for k in (1, 2)]
 
 
 def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,19 +215,30 @@ def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc
     nodes = some.groupBy("set").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first"), F.first(F.struct("k1", "k2", "sig")).alias("x"))
     nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "w", "first", "x.k1", "x.k2", "x.sig"))
 
-    band = lambda k: F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k))
-    bands = nodes.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("least")).where("n > 1")
-    buckets = buckets.groupBy("n", "x", "y", "least").agg(F.min("bucket").alias("bucket"))
-    members = durable(bands.join(buckets.select("bucket", "n", "least"), "bucket"))
-
-    hot = connected_components(members.where(F.col("n") > HOT).select(F.col("node").alias("a"), F.col("least").alias("b")))
-    hot = durable(hot.select("node", F.col("component").alias("hot")))
-    sizes = hot.groupBy("hot").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("blocks"))
-    blocked = hot.join(sizes, "hot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("node", "hot", F.lit(1).alias("kind"), F.col("hot").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
-    small = members.where(F.col("n") <= HOT).join(hot, "node", "left").select("node", "hot", F.lit(0).alias("kind"), F.col("bucket").alias("g"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("own"))
-    work = small.unionByName(blocked)
+    band = lambda k: F.struct(F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("bucket"), F.lit(k).alias("band"), F.lit(1 << k).alias("bit"))
+    bands = nodes.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("b")).select("node", "b.*")
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("least")).where("n > 1")
+    buckets = durable(buckets.groupBy("n", "x", "y", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    n_nodes = nodes.count()
+    members = join_by_size(bands, buckets, "bucket", "n", n_nodes)
+    home = members.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", "h.bucket", F.ceil(F.col("h.n") / BLOCK).alias("slots"))
+    block = F.xxhash64(F.col("bucket"), F.pmod(F.xxhash64("node"), F.col("slots")))
+    members = durable(members.join(home.select("node", block.alias("block")), "node"))
+
+    spans = members.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    # A list of up to WIDE blocks, or none: longer ones are not gathered.
+    wide = spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("spread"))
+    near = spans.join(wide.where(F.col("spread") <= WIDE), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("block", "c")).alias("with"))
+    sizes = durable(buckets.join(wide, "bucket").join(near, "bucket", "left"))
+    known = durable(join_by_size(members.drop("n"), sizes, "bucket", "n", n_nodes))
+    narrow = F.col("with").isNotNull()
+    flags = known.groupBy("node").agg(F.bit_or(F.when(narrow, F.col("bit")).otherwise(0)).alias("narrow"), F.bit_or(F.when(~narrow, F.col("bit")).otherwise(0)).alias("wide"))
+    partner = F.filter("with", lambda x: (x["block"] != F.col("block")) | (x["c"] > 1))
+    few = known.where(narrow).select("node", "block", F.explode(partner).alias("o")).select("node", F.lit(0).cast("long").alias("g"), F.least("block", "o.block").alias("p"), F.greatest("block", "o.block").alias("q"), F.col("block").alias("own"), F.lit(-1).alias("band")).distinct()
+    slots = F.ceil(F.col("n") / BLOCK).cast("long")
+    many = known.where(~narrow).select("node", "bucket", "band", slots.alias("slots")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slots"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    many = many.select("node", F.col("bucket").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "band")
+    work = durable(few.unionByName(many))
 
     asked = work.select("node").distinct().join(nodes.drop("set"), "node")
     texts = docs.select(*content_keys(id_col, text_col), F.col(text_col).alias("text"))
@@ -234,45 +251,39 @@ def near_groups(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*b.columns[:3], got], names=["node", "w", "sig", "shingles"])
 
     sets = whole.mapInArrow(cut, "node long, w long, sig binary, shingles binary").dropDuplicates(["node"])
-    keys = ["kind", "g", "p", "q"]
-    tasks = work.join(sets, "node").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
-    found = durable(tasks.select(*keys, "own", "node", "hot", "w", "sig", "shingles").mapInArrow(lambda batches: _compare(batches, least, plan), "kind int, a long, b long, na long, nb long"))
-
-    pairs = found.where("kind = 0").distinct()
-    counts = found.where("kind = 1").select(F.col("a").alias("node"), F.col("na").alias("n"))
-    counts = counts.unionByName(pairs.select(F.col("a").alias("node"), F.col("nb").alias("n"))).unionByName(pairs.select(F.col("b").alias("node"), F.col("na").alias("n")))
-    counts = counts.groupBy("node").agg(F.sum("n").alias("links"))
-    comp = connected_components(found.where("kind != 1").select("a", "b"))
+    keys = ["g", "p", "q"]
+    tasks = work.join(sets.join(flags, "node"), "node").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
+    found = durable(tasks.select(*keys, "own", "band", "node", "narrow", "wide", "w", "sig", "shingles").mapInArrow(lambda batches: _compare(batches, least, plan), "a long, b long, n long"))
+
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    comp = connected_components(found.where("b is not null").select("a", "b"))
     joined = nodes.select("node", "set", "w", "first").join(comp, "node", "left").join(counts, "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
-    tops = joined.groupBy("component").agg(F.min("first").alias("class_id"))
-    done = durable(joined.join(tops, "component").select("set", "class_id", "component", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-
-    # Sets of more than a thousandth of all rows, a thousand at most, meet their rows by broadcast, all others by shuffle.
-    total = done.agg(F.sum("w")).first()[0] or 0
-    often = F.broadcast(done.where(F.col("w") * 1000 > total).drop("w"))
-    rare = done.where(F.col("w") * 1000 <= total).drop("w")
+    joined = durable(joined)
+    tops = joined.groupBy("component").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    done = join_by_size(joined, tops, "component", "n", n_nodes).select("set", "class_id", "component", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    done = durable(done)
     slim = rows.select("id", "k1", "k2", "set")
-    out = slim.join(often, "set").unionByName(slim.where(F.col("set").isNotNull()).join(often, "set", "left_anti").join(rare, "set"))
+    out = join_by_size(slim.where(F.col("set").isNotNull()), done, "set", "w", done.agg(F.sum("w")).first()[0] or 0)
     out = out.select("id", "class_id", "n_links", "k1", "k2", "component")
     lone = slim.where(F.col("set").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "k1", "k2", F.lit(None).cast("long").alias("component"))
     return out.unionByName(lone).withColumnRenamed("id", id_col)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], least: dict[int, int], plan: JoinPlan) -> Iterator[pa.RecordBatch]:
-    """Links of each run of rows with one key. kind 0: a link (a, b) and both weights; 1: a's links in na; 2: an edge of a forest of links."""
-    names = ["kind", "a", "b", "na", "nb"]
+    """Of each run of rows with one key: a's number of links n, or an edge (a, b) of a forest of links."""
     held: list[pa.RecordBatch] = []
     last: tuple | None = None  # type: ignore[type-arg]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            rows = _group(held, least, plan)
-            if rows is not None and rows[0].size:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:]]], names=names)
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows > 1:
+            a, b, n = _group(table, least, plan)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     for batch in batches:
-        key = np.stack([batch.column(k).to_numpy() for k in range(4)])
+        key = np.stack([batch.column(k).to_numpy() for k in range(3)])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
         for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
             now = tuple(key[:, a].tolist())
@@ -283,41 +294,45 @@ def _compare(batches: Iterator[pa.RecordBatch], least: dict[int, int], plan: Joi
     yield from flush()
 
 
-def _group(held: list[pa.RecordBatch], least: dict[int, int], plan: JoinPlan) -> list[np.ndarray] | None:
-    table = pa.Table.from_batches(held)
+def shared_bands(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits of the bands in which pairs agree."""
+    return ((codes[i] == codes[j]) << np.arange(BANDS)).sum(1)
+
+
+def candidates(codes: np.ndarray, narrow: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs are compared in a task: of blocks (band is -1) those that share a narrow bucket, of a wide bucket those that share none and no wide one of a band before."""
+    both = shared_bands(codes, i, j)
+    if band < 0:
+        return (both & narrow[i]) != 0
+    rest = both & wide[i]
+    return ((both & narrow[i]) == 0) & ((rest & -rest) == 1 << band)
+
+
+def _group(table: pa.Table, least: dict[int, int], plan: JoinPlan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = table.num_rows
-    if n < 2:
-        return None
-    kind, p, q = (table.column(k)[0].as_py() for k in ("kind", "p", "q"))
-    node, w = table.column("node").to_numpy(), table.column("w").to_numpy()
+    p, q, band = (table.column(k)[0].as_py() for k in ("p", "q", "band"))
+    own, node, w, narrow, wide = (table.column(k).to_numpy() for k in ("own", "node", "w", "narrow", "wide"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(n, HASHES)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
-    none = np.empty(0, dtype=np.int64)
-    if kind == 0:
-        hot = np.array([-1 if h is None else h for h in table.column("hot").to_pylist()])
-        i, j = np.triu_indices(n, 1)
-        apart = (hot[i] < 0) | (hot[i] != hot[j])  # pairs of one hot group are compared there
-        i, j = linked(sig, sets, i[apart], j[apart], least, plan)
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return [np.zeros(i.size, dtype=np.int32), node[i], node[j], w[i], w[j]]
-    own = table.column("own").to_numpy()
-    ii, jj = [none], [none]
+    mixed = sig.reshape(n, BANDS, ROWS).astype(np.uint64)
+    codes = np.zeros((n, BANDS), dtype=np.uint64)
+    for k in range(ROWS):
+        codes = _mix(codes + mixed[:, :, k] + np.uint64(1))
+    ii, jj = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     left, right = (np.arange(n), np.arange(n)) if p == q else (np.flatnonzero(own == p), np.flatnonzero(own == q))
     for at in range(0, left.size, 64):
         i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
         if p == q:
             i, j = i[i < j], j[i < j]
-        i, j = surviving(sig, i, j, least)
+        ok = candidates(codes, narrow, wide, i, j, band)
+        i, j = surviving(sig, i[ok], j[ok], least)
         ii.append(i)
         jj.append(j)
     i, j = linked(sig, sets, np.concatenate(ii), np.concatenate(jj), least, plan)
-    links = np.bincount(i, weights=w[j], minlength=n) + np.bincount(j, weights=w[i], minlength=n)
+    links = (np.bincount(i, weights=w[j], minlength=n) + np.bincount(j, weights=w[i], minlength=n)).astype(np.int64)
     root = _roots(n, i, j)
     some, forest = np.flatnonzero(links), np.flatnonzero(root != np.arange(n))
-    kinds = np.concatenate([np.full(some.size, 1), np.full(forest.size, 2)])
-    zero = np.zeros(some.size, dtype=np.int64)
-    return [kinds, np.concatenate([node[some], node[forest]]), np.concatenate([node[some], node[root[forest]]]), np.concatenate([links[some].astype(np.int64), zero[:0], np.zeros(forest.size, dtype=np.int64)]), np.zeros(some.size + forest.size, dtype=np.int64)]
+    return np.concatenate([node[some], node[forest]]), np.concatenate([np.full(some.size, -1), node[root[forest]]]), np.concatenate([links[some], np.zeros(forest.size, dtype=np.int64)])
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
