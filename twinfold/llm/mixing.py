@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt into blocks by a hash, and its blocks are put in
-a permuted order. The mix takes whole passes over a source and then a leading run of
+Each source's documents are dealt into blocks by a hash, rows that repeat by their number
+too, and its blocks are put in a permuted order. The mix takes whole passes over a source and then a leading run of
 its permuted blocks; the block that the target cuts is taken document by document,
 again in a permuted order. How many draws of each source go to which output shard is
 decided by a tree: its root holds the exact quota of every source, each node halves
@@ -20,14 +20,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_by_size
 
 WEIGHTS = (5.0, 2.0, 1.0)
+SOURCES = 10_000
 
 
 @dataclass(frozen=True)
 class MixPlan:
-    """share: words of the mix over words of the input; cap: most uses of a source."""
+    """share: words of the mix over words of the input; cap: most uses of a source.
+
+    Blocks have block_words words and block_docs documents, or more where the table would
+    make more than most_blocks blocks of that size; sources of more than one of
+    ``SOURCES`` documents have least_blocks blocks or more. So there are at most
+    2 * most_blocks + least_blocks * SOURCES + sources blocks, which bounds the tables that
+    are broadcast and the draws.
+    """
 
     weights: tuple[float, ...] = WEIGHTS
     share: float = 1.5
@@ -36,6 +44,7 @@ class MixPlan:
     block_words: int = 1_000_000
     block_docs: int = 20_000
     least_blocks: int = 16
+    most_blocks: int = 50_000
     most_sources: int = 1_000_000
     seed: int = 7
 
@@ -76,24 +85,42 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         mid, total = (lo + hi) // 2, int(have.sum())
         take = round(total * (mid - lo) / (hi - lo))
         rng = np.random.default_rng([seed, lo, hi])
-        left = np.zeros_like(have)
+        left, rest = np.zeros_like(have), total
         for i, n in enumerate(have):  # the multivariate draw, one margin after the other
-            rest = int(have[i + 1 :].sum())
+            rest -= int(n)
             left[i] = draw = int(rng.hypergeometric(int(n), rest, take)) if take and n else 0
             take -= draw
         node(lo, mid, left)
         node(mid, hi, have - left)
 
-    if quotas:
+    if quotas and shards:
         node(0, shards, np.array(quotas, dtype=np.int64))
     return out
 
 
+def numbered_repeats(rows: DataFrame) -> DataFrame:
+    """Rows (h, part, ...) with ``h`` made different for rows that repeat, by their number.
+
+    part is the partition a row was read in: repeats are numbered partition by partition, so
+    that a row that makes up much of the table stays spread. Which of equal rows gets which
+    number makes no difference.
+    """
+    repeats = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    single = rows.join(repeats.select("h"), "h", "left_anti")
+    again = join_by_size(rows, repeats, "h", "n", rows.count()).drop("n")
+    held = again.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
+    before = held.withColumn("before", F.sum("c").over(Window.partitionBy("h").orderBy("part")) - F.col("c")).drop("c")
+    within = again.withColumn("k", F.row_number().over(Window.partitionBy("h", "part").orderBy("size")))
+    again = within.join(before, ["h", "part"]).withColumn("h", F.xxhash64("h", F.col("before") + F.col("k"))).drop("before", "k")
+    return single.unionByName(again).drop("part")
+
+
 def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix, one row per document: (id, source, size, source_size, target, taken, shards, shuffle_key).
+    """The mix, one row per document: (id, source, size, source_size, target, taken, shards, order_keys).
 
     taken: words the mix takes of the document, repeats counted; at most ``cap`` times
-    its size. shards: the output shard of each of its draws. A source's taken words
+    its size. shards: the output shard of each of its draws, order_keys: its place there,
+    for rows of a shard are shuffled by these keys. A source's taken words
     differ from its target by half a document at most. Sources, which are counted on
     the driver, may be ``most_sources`` at most; a hot source is many blocks and so
     many tasks. Null texts have size 0; a null source is a source of its own, last in
@@ -103,8 +130,9 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     spark = docs.sparkSession
     seed = F.lit(plan.seed)
     rows = durable(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), seed).alias("h"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(seed, F.col(id_col), F.col(text_col), F.col(source_col)).alias("h"), F.spark_partition_id().alias("part"))
     )
+    rows = durable(numbered_repeats(rows))
     known = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(plan.most_sources + 1).collect()
     if len(known) > plan.most_sources:
         raise ValueError(f"more than {plan.most_sources} sources")
@@ -112,10 +140,13 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     sizes = [r["words"] for r in known]
     targets = fill_targets(sizes, plan)
     table = []
+    per_words = max(plan.block_words, ceil(sum(sizes) / plan.most_blocks))
+    per_docs = max(plan.block_docs, ceil(sum(r["n"] for r in known) / plan.most_blocks))
+    large = sum(r["n"] for r in known) / SOURCES
     for i, (r, t) in enumerate(zip(known, targets, strict=True)):
         passes = min(int(plan.cap), int(t // r["words"])) if r["words"] else 0
         rest = max(0.0, t - passes * r["words"]) if passes < plan.cap else 0.0
-        blocks = max(plan.least_blocks, ceil(r["words"] / plan.block_words), ceil(r["n"] / plan.block_docs))
+        blocks = max(plan.least_blocks if r["n"] > large else 1, ceil(r["words"] / per_words), ceil(r["n"] / per_docs))
         table.append((r["source"], i, r["words"], float(t), passes, rest, blocks))
     kinds = f"source {docs.schema[source_col].dataType.simpleString()}, src int, source_size long, target double, passes int, rest double, blocks long"
     sources = F.broadcast(spark.createDataFrame(table, kinds))
@@ -145,29 +176,32 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: shard_of(p * F.col("n") + F.col("place")))).otherwise(F.array().cast("array<int>")).alias("full"),
         shard_of(F.col("passes") * F.col("n") + F.col("place")).alias("part"),
     )
-    joined = dealt.join(drawn, ["src", "block"])
+    # The blocks have a bound (see MixPlan), so rows stay where they are; only those of cut blocks are put in order.
+    joined = dealt.join(F.broadcast(drawn), ["src", "block"])
     inside = Window.partitionBy("src", "block").orderBy(F.xxhash64("h", F.lit(plan.seed + 1)), "h", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = joined.where(F.col("kind") == "cut").withColumn("upto", F.col("before") + F.sum("size").over(inside)).withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
     plain = joined.where(F.col("kind") != "cut").withColumn("extra", (F.col("kind") == "whole").cast("int"))
     every = plain.unionByName(cut)
-    return every.select(
+    shards = F.when(F.col("extra") > 0, F.concat("full", F.array("part"))).otherwise(F.col("full"))
+    key = lambda s, i: F.xxhash64("h", F.lit(plan.seed + 2), i, s)
+    return every.withColumn("shards", shards).select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "size",
         "source_size",
         "target",
         (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken"),
-        F.when(F.col("extra") > 0, F.concat("full", F.array("part"))).otherwise(F.col("full")).alias("shards"),
-        F.xxhash64("h", F.lit(plan.seed + 2)).alias("shuffle_key"),
+        "shards",
+        F.transform("shards", key).alias("order_keys"),
     )
 
 
-def shard_rows(mix: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+def shard_rows(mix: DataFrame) -> DataFrame:
     """One row per draw, shuffled within its shard: ready to be written with partitionBy("shard").
 
-    A shard's rows are spread over several tasks by ranges of the shuffle key, so no
+    A shard's rows are spread over several tasks by ranges of the order key, so no
     task holds a whole shard.
     """
-    draws = mix.select("*", F.posexplode("shards").alias("draw", "shard")).drop("shards")
-    key = F.xxhash64("shuffle_key", "draw", "shard")
-    return draws.withColumn("order_key", key).repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+    draws = mix.select("*", F.explode(F.arrays_zip(F.col("shards").alias("shard"), F.col("order_keys").alias("order_key"))).alias("draw"))
+    draws = draws.drop("shards", "order_keys").select("*", "draw.shard", "draw.order_key").drop("draw")
+    return draws.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")

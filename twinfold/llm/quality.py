@@ -69,9 +69,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -500, 500)))
 
     def grade(self, text: str | None) -> tuple[float | None, float]:
-        """Expected grade and probability of the top grade. Empty texts get the lowest grade and probability 0."""
+        """Expected grade and probability of the top grade. Empty texts get the lowest grade and probability 0; without any grade known, other texts get no grade and probability 1."""
         if not self.grades:
-            return None, 1.0
+            return None, 1.0 if text else 0.0
         if not text:
             return float(self.grades[0]), 0.0
         up = self.above(self.score(text))
@@ -125,27 +125,27 @@ def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", i
     The sample, most_rows vectors of 4096 floats and so 64 MB at most, is fitted in one task;
     the driver gets the model only.
     Labels of one id that disagree count with their highest rating; null ratings are
-    ignored. Without two different ratings the model has no thresholds and rejects
+    ignored. Rows are taken and fitted in the order of their hashes, so reruns agree. Without two different ratings the model has no thresholds and rejects
     only empty texts.
     """
     spark = docs.sparkSession
     prepare(spark)
     known = labels.select(F.col(id_col).alias("key"), F.col(rating).cast("int").alias("rating")).na.drop().where(folded_crc("key") != 0)
     chosen = known.groupBy("key").agg(F.max("rating").alias("rating")).orderBy(F.xxhash64("key"), "key").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key").select("rating", "text")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key").select("rating", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rating"), pa.array(x, pa.binary())], names=["rating", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("rating"), b.column("h"), b.column("t"), pa.array(x, pa.binary())], names=["rating", "h", "t", "x"])
 
     def fit(batches: Iterable[pa.RecordBatch]) -> OrdinalModel:
         held = [b for b in batches if b.num_rows]
         x = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column("x")), dtype=np.float32).reshape(-1, 1 << BITS)
         return fit_ordinal(x, np.concatenate([b.column("rating").to_numpy() for b in held] or [np.empty(0)]))
 
-    sample = rows.mapInArrow(run, "rating int, x binary").limit(most_rows)
-    return fit_in_one_task(sample.repartition(1), fit)
+    sample = rows.mapInArrow(run, "rating int, h long, t long, x binary").orderBy("h", "t").limit(most_rows)
+    return fit_in_one_task(sample.repartition(1).sortWithinPartitions("h", "t"), fit)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:

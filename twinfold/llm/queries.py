@@ -160,7 +160,7 @@ def op8_max_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
-    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards", "order_keys")
 
 
 def op10_rank_synchronous_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

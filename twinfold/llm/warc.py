@@ -10,8 +10,8 @@ only into ranges whose hashes differ, down to the damaged records.
 from __future__ import annotations
 
 import gzip
-import io
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,13 +50,17 @@ def digest(payload: Column) -> Column:
 
 
 def lay_out(records: DataFrame, archive: str = "archive", order: list[str] = ("id",), length: str = "length") -> DataFrame:  # type: ignore[assignment]
-    """Adds ``offset``: the bytes before a record in its archive. An archive file is bounded in size, and so is this window."""
+    """Adds ``offset``: the bytes before a record in its archive. An archive file is bounded in size, and so is this window.
+
+    A null archive is one of its own; null lengths count as 0; rows that tie in the order
+    get places by chance; an empty table gives an empty one.
+    """
     w = Window.partitionBy(archive).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long"))
 
 
 def tree_leaves(records: DataFrame, archive: str = "archive", offset: str = "offset", digest_col: str = "digest", length: str = "length") -> DataFrame:
-    """The lowest level of a tree, written once: (archive, pos, hash, length)."""
+    """The lowest level of a tree, written once: (archive, pos, hash, length). See ``merkle_tree`` for nulls and ties."""
     rows = records.select(F.col(archive).cast("string").alias("archive"), F.coalesce(F.col(offset), F.lit(-1)).cast("long").alias("pos"), F.coalesce(F.col(digest_col), F.lit(ABSENT)).alias("hash"), F.col(length).cast("long").alias("length"))
     many = F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.min("hash"), F.max("hash"), F.sum(F.xxhash64("hash").cast("decimal(38,0)"))), 256)
     return durable(rows.groupBy("archive", "pos").agg(F.when(F.count(F.lit(1)) == 1, F.min("hash")).otherwise(many).alias("hash"), F.max("length").alias("length")))
@@ -112,8 +116,8 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
     """Damaged records: (archive, offset, length, status), status corrupt, missing (in b) or extra (in b).
 
-    Both trees must have the same depth. Only children of differing ranges are joined;
-    the amount of work follows the damage, not the archives.
+    Both trees must have the same depth. Only children of differing ranges are compared,
+    so what is joined and shuffled follows the damage; the hashes of each level are read whole.
     """
     if len(a.levels) != len(b.levels):
         raise ValueError("trees of different depth")
@@ -134,49 +138,61 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
 
 
 def compare_replicas(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Trees of two replicas (archive, offset, digest, length) and their audit."""
+    """Trees of two replicas (archive, offset, digest, length) and their audit.
+
+    Columns besides these are ignored. An empty replica misses, or has, all records; two
+    empty ones, and equal ones, give no rows; repeated rows count by their number.
+    """
     leaves = tree_leaves(a), tree_leaves(b)
     depth = max(tree_depth(x) for x in leaves)
     return audit(*(grow(x, depth) for x in leaves))
 
 
+#: Bytes unpacked at once.
+PIECE = 1 << 16
 HEAD = re.compile(rb"WARC/\d\.\d\r\n(.*?)\r\n\r\n", re.DOTALL)
 
 
+def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+    """The gzip member at an offset, unpacked, and the offset behind it."""
+    box, out = zlib.decompressobj(31), []
+    while not box.eof and at < len(data):
+        piece = data[at : at + PIECE]
+        out.append(box.decompress(piece))
+        at += len(piece)
+    return b"".join(out), at - len(box.unused_data)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Records of an archive, plain or with a gzip member for each: (offset, stored length, headers, payload)."""
-    at = 0
+    """Records of an archive, plain or with a gzip member for each: (offset, stored length, headers by lower-case name, payload).
+
+    Linear in the archive's size. An empty archive has no records; bytes that are no
+    record raise an error that names their offset.
+    """
+    view, at = memoryview(data), 0
     packed = data[:2] == b"\x1f\x8b"
     while at < len(data):
-        if packed:
-            stream = io.BytesIO(data[at:])
-            import zlib
-
-            box = zlib.decompressobj(31)
-            raw = box.decompress(stream.read())
-            size = len(data) - at - len(box.unused_data)
-        else:
-            raw = data[at:]
-            size = 0
-        m = HEAD.match(raw)
+        raw, end = _member(view, at) if packed else (data, at)
+        m = HEAD.match(raw, 0 if packed else at)
         if not m:
             raise ValueError(f"no WARC record at offset {at}")
-        heads = dict(line.split(": ", 1) for line in m[1].decode("utf-8", "replace").split("\r\n") if ": " in line)
-        n = int(heads.get("Content-Length", 0))
-        size = size or m.end() + n + 4
-        yield at, size, heads, raw[m.end() : m.end() + n]
-        at += size
+        lines = (line.partition(":") for line in m[1].decode("utf-8", "replace").split("\r\n"))
+        heads = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+        n = int(heads.get("content-length") or 0)
+        end = end if packed else m.end() + n + 4
+        yield at, end - at, heads, bytes(raw[m.end() : m.end() + n])
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: (archive, offset, length, uri, payload, digest); one task reads a file."""
+    """Records of WARC files: (archive, offset, length, uri, payload, digest); one task reads a file. Empty files have none; a missing uri is null."""
     prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = [(path, o, n, h.get("WARC-Target-URI"), p) for o, n, h, p in parse_warc(content)]
+                rows = [(path, o, n, h.get("warc-target-uri"), p) for o, n, h, p in parse_warc(content)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["archive", "offset", "length", "uri", "payload"])
 
