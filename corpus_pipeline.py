@@ -46,7 +46,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of what is left."""
     prepare(spark)
-    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "shards")
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "shards", "order_keys")
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("mix", mix)]
