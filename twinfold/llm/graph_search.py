@@ -121,7 +121,7 @@ def spread(x: np.ndarray, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def build_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2, batch: int = 256, pivots: int = 128, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(x: np.ndarray, degree: int = 24, width: int = 64, alpha: float = 1.2, batch: int = 256, pivots: int = 128, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours of each node (padded with len(x)) and the pivots, from which searches begin."""
     n = len(x)
     entry = spread(x, pivots)
@@ -133,16 +133,15 @@ def build_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float =
         near = np.full((n, degree), n)
         near[:, : every.shape[1]] = every
         return near, entry
-    for slack in (1.0, alpha):
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            points = order[at : at + batch]
-            ids, steps = beam(x, near, x[points], entry, width)
-            seen = np.full((len(points), len(steps)), n)
-            for k, (rows, nodes) in enumerate(steps):
-                seen[rows, k] = nodes
-            near[points] = robust_prune(x, points, np.concatenate([seen, np.where(ids < 0, n, ids), near[points]], 1), degree, slack)
-            _link_back(x, near, points, degree, slack)
+    order = rng.permutation(n)
+    for at in range(0, n, batch):
+        points = order[at : at + batch]
+        ids, steps = beam(x, near, x[points], entry, width)
+        seen = np.full((len(points), len(steps)), n)
+        for k, (rows, nodes) in enumerate(steps):
+            seen[rows, k] = nodes
+        near[points] = robust_prune(x, points, np.concatenate([seen, np.where(ids < 0, n, ids), near[points]], 1), degree, alpha)
+        _link_back(x, near, points, degree, alpha)
     return near, entry
 
 
@@ -211,7 +210,7 @@ def _pack(vectors: np.ndarray, ids: np.ndarray, keep: int) -> dict:  # type: ign
     return {"x": vectors[np.sort(first)], "ids": held}
 
 
-def make_index(vectors: np.ndarray, ids: np.ndarray, keep: int, degree: int = 24, width: int = 48, alpha: float = 1.2) -> dict:  # type: ignore[type-arg]
+def make_index(vectors: np.ndarray, ids: np.ndarray, keep: int, degree: int = 24, width: int = 64, alpha: float = 1.2) -> dict:  # type: ignore[type-arg]
     index = _pack(vectors, ids, keep)
     index["middle"], index["size"] = level(index["x"])
     near, index["pivots"] = build_graph(levelled(index["x"], index["middle"], index["size"]), degree, width, alpha)
@@ -271,7 +270,7 @@ def nearest_neighbours(
     dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = make_index(np.array(pdf["v"].tolist(), dtype=np.float64), pdf["id"].to_numpy(), k + 1, degree, min(width, 48), alpha)
+        index = make_index(np.array(pdf["v"].tolist(), dtype=np.float64), pdf["id"].to_numpy(), k + 1, degree, min(width, 64), alpha)
         return pd.DataFrame({"dim": [int(pdf["dim"][0])], "shard": [int(pdf["shard"][0])], "data": [pickle.dumps(index)]})
 
     graphs = durable(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, data binary"))
