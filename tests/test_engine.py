@@ -34,16 +34,52 @@ def test_query(spark, con, sf_dir, name):
 
 
 def test_markdown_chunks(spark):
-    from twinfold.operators.chunking import chunk_markdown, markdown_parts, split_long
+    from pyspark.sql import functions as F
+
+    from twinfold.operators.chunking import chunk_markdown, split_parts
 
     long = "This paragraph is long enough to be kept as a chunk because it has more than eighty characters."
-    assert [(p["section_path"], p["content_type"]) for p in markdown_parts(f"# Guide\n\n## Install\n\n{long}")] == [("Guide > Install", "paragraph")]
     code = "\n".join(f"print('line number {i}')" for i in range(8))
-    assert [p["content_type"] for p in markdown_parts(f"# T\n```\n{code}\n```")] == ["code"]
-    assert markdown_parts("# Tiny\nshort") == [] and markdown_parts(None) == []
-    assert all(len(p) <= 1800 for p in split_long("word " * 2000)) and "".join(split_long("x" * 5000)) == "x" * 5000
-    rows = chunk_markdown(spark.createDataFrame([("a", long), ("b", None)], "doc_id string, markdown string")).collect()
-    assert len(rows) == 1 and rows[0]["chunk_id"].startswith("chk_") and len(rows[0]["chunk_id"]) == 28
+    docs = {"a": f"# Guide\n\n## Install\n\n{long}", "b": None, "c": f"# T\n```\n{code}\n```", "d": "# Tiny\nshort", "e": f"{long}\n\n{'word ' * 800}\n\n{long}"}
+    rows = chunk_markdown(spark.createDataFrame(list(docs.items()), "doc_id string, markdown string")).collect()
+    assert [(r["doc_id"], r["section_path"], r["content_type"]) for r in rows if r["doc_id"] in "abcd"] == [("a", "Guide > Install", "paragraph"), ("c", "T", "code")]
+    assert all(r["chunk_id"].startswith("chk_") and len(r["chunk_id"]) == 28 for r in rows) and sum(r["doc_id"] == "e" for r in rows) == 6
+
+    def cut(text, most=1800):
+        """The rule, a character at a time."""
+        if len(text) <= most:
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            ends = [i for i in range(at, min(at + most, len(text))) if text[i] == "\n" and i > at + 200] or [i for i in range(at + 1, min(at + most, len(text))) if text[i] == " "] or [min(at + most, len(text))]
+            out.append(text[at : ends[-1]].strip())
+            at = ends[-1]
+        return [p for p in out if p]
+
+    texts = ["word " * 2000, "x" * 5000, "", "a b", "line of some words\n" * 400, "y" * 1799 + " " + "z" * 1800, "\n".join("w" * n for n in range(1, 90))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(split_parts(F.col("t"))).collect()
+    assert [r[0] for r in got] == [cut(t) for t in texts]
+
+
+def test_code_chunks():
+    from twinfold.operators.chunking import block_end, code_parts, window_spans
+    from twinfold.plans.profiles import Profile
+
+    assert block_end(["def f():", "    a", "", "  b", "c"], 0) == 3 and block_end(["f() {", "{ }", "}", "x"], 0) == 2 and block_end(["f()", "x"], 0) == 1 and block_end(["  def f():", "    a"], 0) == 1
+    for n in range(0, 120):
+        for size, step in ((40, 20), (30, 10), (4, 2), (5, 5)):
+            want, at = [], 0
+            while at < n:
+                want.append((at, min(at + size, n)))
+                if at + size >= n:
+                    break
+                at += step
+            assert window_spans(n, size, step) == want
+    yaml = "a: 1\nb: 2\n\nc: 3\nd: 4\ne: 5\n"
+    small = Profile(min_lines=2, window_lines=3, window_step=2)
+    assert [(k, a, b) for k, _, a, b, _ in code_parts(yaml, ".yaml", "yaml", small)] == [("file", 1, 6), ("config", 1, 2), ("config", 4, 6)]
+    assert [(k, a, b) for k, _, a, b, _ in code_parts("x\n\ny\nz\nw\nv\n", ".rb", "ruby", small)] == [("file", 1, 6), ("window", 1, 4), ("window", 4, 6)]
+    assert [k for k, *_ in code_parts("", ".py", "python", small)] == ["file"]
 
 
 def test_text_functions(spark):

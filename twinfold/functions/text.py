@@ -10,9 +10,26 @@ LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
 
 # Extensions by language, and words of paths.
 LANGUAGES = {
-    "python": ".py", "javascript": ".js .jsx", "typescript": ".ts .tsx", "go": ".go", "java": ".java", "csharp": ".cs", "cpp": ".cpp .hpp", "c": ".c .h", "rust": ".rs", "ruby": ".rb",
-    "php": ".php", "swift": ".swift", "kotlin": ".kt", "scala": ".scala", "shell": ".sh", "sql": ".sql", "yaml": ".yaml .yml", "json": ".json", "toml": ".toml",
-}
+    "python": [".py"],
+    "javascript": [".js", ".jsx"],
+    "typescript": [".ts", ".tsx"],
+    "go": [".go"],
+    "java": [".java"],
+    "csharp": [".cs"],
+    "cpp": [".cpp", ".hpp"],
+    "c": [".c", ".h"],
+    "rust": [".rs"],
+    "ruby": [".rb"],
+    "php": [".php"],
+    "swift": [".swift"],
+    "kotlin": [".kt"],
+    "scala": [".scala"],
+    "shell": [".sh"],
+    "sql": [".sql"],
+    "yaml": [".yaml", ".yml"],
+    "json": [".json"],
+    "toml": [".toml"],
+}
 CONFIG_EXTENSIONS = [".yaml", ".yml", ".json", ".toml", ".sql", ".sh"]
 TEST_PARTS = ["test", "tests", "__tests__", "fixtures", "fixture", "examples", "example"]
 PROD_PARTS = ["src", "packages", "apps", "app", "lib"]
@@ -20,7 +37,7 @@ PROD_PARTS = ["src", "packages", "apps", "app", "lib"]
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space, Unicode's included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, rf"\A{SPACE}++|{SPACE}++\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -31,10 +48,14 @@ def lines(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Unix line ends, single blanks, stripped lines, at most one blank line in a row."""
-    rows = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    rows = F.transform(rows, lambda x: strip(F.regexp_replace(x, r"[ \t\f\x0B]+", " ")))
-    return strip(F.regexp_replace(F.array_join(rows, "\n"), r"\n{3,}", "\n\n"))
+    """Unix line ends, single blanks, stripped lines, at most one blank line in a row.
+
+    Whole-text replacements, whose possessive runs are looked at once: no array of lines is made.
+    """
+    flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t\f\x0B]++", " ")
+    edges = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]++"
+    rows = F.regexp_replace(flat, f"(?md)^{edges}|{edges}$", "")
+    return strip(F.regexp_replace(rows, r"\n{3,}", "\n\n"))
 
 
 def text_hash(text: Column) -> Column:
@@ -46,17 +67,23 @@ def stable_id(prefix: str, raw: Column, size: int = 24) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(raw, 256), 1, size))
 
 
+#: White space that ends no line, and the characters that end one.
+INLINE = r"[\t \p{Zs}\x1f]"
+ENDS = r"\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029"
+
+
 def count_lines(text: Column) -> Column:
-    return F.size(F.filter(lines(text), lambda x: strip(x) != ""))
+    """Lines with more than white space: runs from the first such character of a line to its end."""
+    return F.regexp_count(text, F.lit(rf"[^\s\p{{Z}}\x1c-\x1f\x85][^{ENDS}]*+"))
 
 
 def count_tokens(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda x: x != ""))
+    return F.regexp_count(text, F.lit(r"[^\s\p{Z}\x1c-\x1f\x85]++"))
 
 
 def preview(text: Column, size: int = 180) -> Column:
     """Non-blank lines on one line, cut with dots beyond size characters."""
-    flat = F.array_join(F.filter(F.transform(lines(text), strip), lambda x: x != ""), " ")
+    flat = strip(F.regexp_replace(text, f"{INLINE}*+[{ENDS}]{SPACE}*+", " "))
     return F.when(F.length(flat) > size, F.concat(F.substring(flat, 1, size - 3), F.lit("..."))).otherwise(flat)
 
 
@@ -82,7 +109,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def language_for(ext: Column) -> Column:
     out = F.lit("text")
     for name, exts in LANGUAGES.items():
-        out = F.when(ext.isin(exts.split()), name).otherwise(out)
+        out = F.when(ext.isin(exts), name).otherwise(out)
     return out
 
 
@@ -139,5 +166,10 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return out
 
 
-def markdown_cell(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+def markdown_cell(c: Column, line_end: str = " ") -> Column:
+    """A value for a table cell of a Markdown report; null is N/A."""
+    return F.coalesce(F.replace(F.replace(c.cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(line_end)), F.lit("N/A"))
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c, "是").otherwise("否")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.text import grams, jaccard
+from twinfold.operators.components import shared_checkpoint
 
 # Strength of evidence of a pair, by type.
 CODE_RANK = {"file_exact": 6, "file_normalized_exact": 5, "symbol_exact": 4, "config_duplicate": 3, "symbol_near": 2, "window_near": 1}
@@ -25,7 +24,11 @@ def groups(rows: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def star_links(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """(left, right): the first item of each key with each other one; linear in a group's size and enough for components."""
+    """(left, right): the first item of each key with each other one; linear in a group's size and enough for components.
+
+    Keys and items are written once, so what they are made of is not read and hashed twice.
+    """
+    rows = shared_checkpoint(rows.select(key, item))
     g = groups(rows, key, item)
     return rows.join(g, key).where(F.col(item) != F.col("first")).select(F.col("first").alias("left"), F.col(item).alias("right"))
 
@@ -96,24 +99,49 @@ def pair_counters(chunks: DataFrame, item: str, path: str, block: list[str], cou
     )
 
 
+#: Odd factors of the characters of a gram.
+FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def gram_hashes(text: str, n: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct character n-grams, from code points; a short text is one gram, an empty one none."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    width = min(n, points.size)
+    if not width:
+        return points
+    h = np.full(points.size - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        h += points[k : points.size - width + 1 + k] * FACTORS[k]
+    h = (h ^ (h >> np.uint64(29))) * FACTORS[n]
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def gram_sets(text: Column) -> Column:
+    """``gram_hashes`` of the lower-cased text as an array of longs, made in Arrow batches."""
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: gram_hashes(t or "").view(np.int64))
+
+    return sets(F.lower(text))
+
+
 def minhash(text: Column, perms: int = 128, seed: int = 1) -> Column:
     """MinHash signature of the normalised text's 5-grams; the empty set hashes as one empty gram."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 61, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 62, perms, dtype=np.uint64)
 
-    @F.pandas_udf("array<long>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: one(t or ""))
-
-    def one(t: str) -> list[int]:
-        found = {t[i : i + 5] for i in range(max(1, len(t) - 4))}
-        h = pd.util.hash_array(np.array(sorted(found), dtype=object), categorize=False)
+    def one(t: str) -> np.ndarray:
+        h = gram_hashes(t) if t else np.zeros(1, dtype=np.uint64)
         low = np.full(perms, np.iinfo(np.uint64).max)
-        for at in range(0, len(h), 2048):
-            low = np.minimum(low, (h[at : at + 2048, None] * a + b).min(0))
-        return (low >> np.uint64(2)).astype(np.int64).tolist()
+        for at in range(0, h.size, 1024):
+            low = np.minimum(low, (h[at : at + 1024, None] * a + b).min(0))
+        return (low >> np.uint64(2)).astype(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def sign(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: one(t or ""))
 
     return sign(F.lower(text))
 
@@ -123,7 +151,7 @@ def gram_count(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) if t else 0)
+        return texts.map(lambda t: gram_hashes(t or "").size)
 
     return count(F.lower(text))
 
@@ -158,10 +186,12 @@ def representative_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.min("chunk_id").alias("chunk_id"))
 
 
-def capped(pairs: DataFrame, order: list[str], most: int) -> DataFrame:
-    """The first ``most`` comparisons in a fixed order, as the engine's comparison cap has it."""
-    return pairs.orderBy(*order).limit(most)
+def capped(pairs: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """Candidate pairs with ``compared``: whether the pair is among the first ``most`` of a fixed order, where the engine's comparison cap stops.
 
-
-def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    The order is spread by ranges: places are counted range by range, so no task sees all pairs.
+    """
+    ranged = shared_checkpoint(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # one row a partition
+    return ranged.join(F.broadcast(before), "part").withColumn("compared", F.col("before") + F.col("at") - F.col("first") < most).drop("part", "at", "first", "before")

@@ -19,7 +19,9 @@ RISKS = [
     ("auto_delete", r"自动删除|auto(?:matic)? delete", "high"),
     ("auto_overwrite", r"自动覆盖|auto(?:matic)? overwrite", "high"),
 ]
-DOCUMENTATION = ["flag ", "flags ", "scan for ", "detect", "pattern", "rule", "example", "such as", "高风险", "re.compile", "RISK_PATTERNS", "DANGEROUS_PATTERNS"]
+ABOUT_RULES = ["flag ", "flags ", "scan for ", "detect", "pattern", "rule", "example", "such as", "高风险"]
+IN_RULES = ["re.compile", "RISK_PATTERNS", "DANGEROUS_PATTERNS"]
+DOCUMENTATION = ABOUT_RULES + IN_RULES
 LINT_RISKS = [
     (r"\brm\s+-rf\b", "destructive shell deletion"),
     (r"自动删除|automatically delete", "automatic deletion"),
@@ -41,9 +43,11 @@ def risk_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, rule_id, severity, snippet) for every line and rule that match.
 
     The rules are a dozen constants, so they are an array of matches per line and not a
-    join; lines that describe rules are info only.
+    join; lines that describe rules are info only. One pattern of all rules lets texts, and
+    then lines, without any match pass before single rules are looked at.
     """
-    each = rows.select(F.col(key), F.posexplode(lines(F.col(text))).alias("at", "row"))
+    some = "(?i)" + "|".join(f"(?:{p})" for _, p, _ in RISKS)
+    each = rows.where(F.col(text).rlike(some)).select(F.col(key), F.posexplode(lines(F.col(text))).alias("at", "row")).where(F.col("row").rlike(some))
     stripped = strip(F.col("row"))
     about = has_any(F.col("row"), DOCUMENTATION) | (stripped.startswith('(r"') & stripped.endswith("),"))
     hits = F.array_compact(F.array(*[F.when(F.col("row").rlike(f"(?i){p}"), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, p, s in RISKS]))

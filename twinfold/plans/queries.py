@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from twinfold.functions import text as T
 from twinfold.operators import clusters as C
 from twinfold.operators import pairs as P
 from twinfold.operators import rules as R
-from twinfold.operators.chunking import chunk_markdown, split_long
+from twinfold.operators.chunking import chunk_markdown, split_parts
 from twinfold.operators.components import components, shared_checkpoint
 from twinfold.plans.doc_report import analyse_documents
 from twinfold.sources.files import changed, parse_html
@@ -144,7 +143,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN length(n) = 0 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, greatest(length(n) - 4, 1)), lambda i: substr(n, i, 5)))) END AS n_grams FROM (SELECT doc_id, lower($NORM) AS n FROM documents)")
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.grams(T.normalize_text(F.col("text")))).cast("long").alias("n_grams"))
+    return _docs(spark, sf_dir).select("doc_id", P.gram_count(T.normalize_text(F.col("text"))).alias("n_grams"))
 
 
 _TURNS = """(SELECT conv_id * 1000 + turn AS id, conv_id, role, text, greatest(1, CAST(floor(length(text) / 10) AS BIGINT)) AS n FROM conversations WHERE text IS NOT NULL AND length(text) > 0)"""
@@ -177,7 +176,7 @@ def minhash_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = shared_checkpoint(one.select(F.col("doc_id").alias("id"), P.minhash(F.col("norm")).alias("sig"), P.gram_count(F.col("norm")).alias("n")))
     fit = shared_checkpoint(P.within_ratio(P.lsh_candidates(signed, "id", *P.SURE_BANDS), signed, 0.82))
     asked = fit.select(F.col("left").alias("doc_id")).unionByName(fit.select(F.col("right").alias("doc_id"))).distinct()
-    return P.score_pairs(fit, one.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), T.grams(F.col("norm")).alias("g"))).where("similarity >= 0.82")
+    return P.score_pairs(fit, one.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), P.gram_sets(F.col("norm")).alias("g"))).where("similarity >= 0.82")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,11 +331,7 @@ def doc_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def long_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of at most 1800 characters of all normalised documents."""
-    @F.pandas_udf("array<string>")
-    def cut(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: split_long(x or ""))
-
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(cut(T.normalize_text(F.col("text")))).alias("part", "text"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(split_parts(T.normalize_text(F.col("text")))).alias("part", "text"))
 
 
 @query()

@@ -14,10 +14,12 @@ from twinfold.functions.text import LANGUAGES, extension, markdown_cell, stable_
 
 # Extensions, folders and files by their handling.
 DOCUMENTS = [".md", ".txt", ".html", ".htm", ".pdf", ".docx", ".pptx"]
-CODE = sorted({e for x in LANGUAGES.values() for e in x.split()})
-SKIPPED_FOLDERS = """.git node_modules dist build target .venv venv __pycache__ .pytest_cache coverage .next .nuxt .turbo .cache vendor out bin
-obj .idea .vscode .opencode .agents .codex""".split()
-SKIPPED_FILES = "package-lock.json pnpm-lock.yaml yarn.lock Cargo.lock go.sum *.min.js *.map *.generated.* *.pb.go *.lock *.pyc".split()
+CODE = sorted({e for x in LANGUAGES.values() for e in x})
+SKIPPED_FOLDERS = [
+    ".git", "node_modules", "dist", "build", "target", ".venv", "venv", "__pycache__", ".pytest_cache", "coverage", ".next", ".nuxt", ".turbo", ".cache", "vendor", "out", "bin",
+    "obj", ".idea", ".vscode", ".opencode", ".agents", ".codex",
+]
+SKIPPED_FILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "go.sum", "*.min.js", "*.map", "*.generated.*", "*.pb.go", "*.lock", "*.pyc"]
 
 
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
