@@ -43,7 +43,7 @@ class MixPlan:
     shards: int = 16
     block_words: int = 1_000_000
     block_docs: int = 20_000
-    least_blocks: int = 16
+    least_blocks: int = 64
     most_blocks: int = 50_000
     most_sources: int = 1_000_000
     seed: int = 7
