@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.text import directory, is_test_path, role_hint
@@ -37,6 +37,29 @@ BLOCKERS = {
     "manual_review_required": "近重复或跨目录重复需要人工审核。",
 }
 HIGH_RISK = "风险为 high，禁止直接合并。"
+STEPS = {
+    "extract_shared_function": ["确认输入输出、副作用和边界条件一致。", "抽取公共实现到 `{target}`。", "原函数保留领域入口并调用共享实现。", "补充或保留回归测试。"],
+    "consolidate_config": ["确认重复配置不是环境分叉。", "抽公共配置模板。", "环境差异保留为 override。", "验证最终展开配置。"],
+    "review_canonical_candidate": ["确认文件引用、调用方、发布路径和所有权。", "选择候选 canonical 文件。", "拟定引用更新或归档方案。", "运行测试和构建。"],
+    "extract_helper": ["确认重复窗口不是偶然流程相似。", "抽取最小公共辅助逻辑到 `{target}`。", "保留原模块差异逻辑。", "运行相关测试。"],
+    "manual_review_required": ["逐行比较相同逻辑和差异逻辑。", "只抽取确认等价的最小公共逻辑。", "保留领域差异。", "补充差异测试。"],
+}
+VALIDATION = ["运行相关单元测试和集成测试。", "检查导入、引用和调用方。", "检查公共 API、配置加载顺序和调用方行为。"]
+SIMILAR = "脚本已提供文本、hash 或 Jaccard 相似度证据。"
+UNKNOWN = ["脚本不会判断业务语义等价。", "需要执行者读取源码确认输入输出、副作用、异常处理、边界条件和领域差异。"]
+REVIEW_DIMENSIONS = ["输入输出契约", "副作用和状态修改", "异常处理", "权限/安全/支付/部署影响", "配置环境差异", "测试覆盖"]
+CALL_CHECKS = [
+    ("导入/引用检查", "执行者需要使用搜索或语言工具检查引用。"),
+    ("调用方影响", "执行者需要确认调用方参数、返回值和异常契约。"),
+    ("公共 API 影响", "涉及导出符号、路由、命令行入口、配置入口时需谨慎。"),
+    ("测试覆盖", "执行者需要定位并运行相关测试。"),
+]
+READ_FILES = "读取重复簇涉及文件：%s。"
+AGENT_STEPS = ["搜索符号名、文件路径和导入路径，确认导入、引用和调用方。", "比较输入输出、副作用、异常处理、权限/配置/环境差异。", "检查是否有相关单元测试、集成测试或配置验证命令。"]
+CONFIG_STEP = "确认配置重复是否代表不同环境或部署覆盖规则。"
+RISKY_STEP = "若进入补丁/重构阶段，先向用户确认最小改动计划。"
+#: Paths that the first agent step names.
+SHOWN_PATHS = 4
 
 
 def _kept(*some: Column) -> Column:
@@ -86,3 +109,27 @@ def review(members: DataFrame) -> DataFrame:
 def paths_to_review(members: DataFrame) -> DataFrame:
     """(cluster, path): every path of a cluster once, as rows, for a cluster may have any number."""
     return members.select("cluster", "path").distinct()
+
+
+def merge_plans(reviewed: DataFrame) -> DataFrame:
+    """(cluster, target, steps, blockers, validation, requires_manual_review, dry_run_only) of ``review`` rows."""
+    steps = F.create_map(*[x for k, some in STEPS.items() for x in (F.lit(k), _words(some))])[F.col("action")]
+    named = F.transform(F.coalesce(steps, _words(STEPS["manual_review_required"])), lambda x: F.replace(x, F.lit("{target}"), F.coalesce("target", F.lit(""))))
+    return reviewed.select("cluster", "target", named.alias("steps"), "blockers", _words(VALIDATION).alias("validation"), F.lit(True).alias("requires_manual_review"), F.lit(True).alias("dry_run_only"))
+
+
+def first_paths(members: DataFrame, most: int = SHOWN_PATHS) -> DataFrame:
+    """(cluster, paths): the first paths of each cluster in order, by ranks and not by gathering all."""
+    ranked = members.select("cluster", "path").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("path"))).where(F.col("rank") <= most)
+    return ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+
+
+def notes(members: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(cluster, difference, calls, agent_steps): what is alike and unknown, which calls nobody has checked, and what to do next."""
+    facts = members.groupBy("cluster", "duplicate_type").agg((F.min(directory(F.col("path"))) != F.max(directory(F.col("path")))).alias("cross"))
+    rows = reviewed.join(facts, "cluster").join(first_paths(members), "cluster")
+    difference = F.struct(F.lit("needs_agent_source_review").alias("status"), F.array(F.col("reason"), F.lit(SIMILAR)).alias("similarities"), _words(UNKNOWN).alias("differences_or_unknowns"), _words(REVIEW_DIMENSIONS).alias("review_dimensions"), F.col("cross").alias("cross_directory"))
+    checks = F.array(*[F.struct(F.lit(item).alias("item"), F.lit("not_checked_by_script").alias("result"), F.lit(note).alias("note")) for item, note in CALL_CHECKS])
+    calls = F.struct(F.lit("not_checked_by_script").alias("status"), checks.alias("checks"))
+    steps = _kept(F.format_string(READ_FILES, F.array_join("paths", ", ")), *map(F.lit, AGENT_STEPS), F.when(F.col("duplicate_type") == "config_duplicate", CONFIG_STEP), F.when(F.col("risk").isin("medium", "high"), RISKY_STEP))
+    return rows.select("cluster", difference.alias("difference"), calls.alias("calls"), steps.alias("agent_steps"))

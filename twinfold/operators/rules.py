@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.text import SPACE, has_any, lines, strip
@@ -102,9 +102,53 @@ def score_dimensions(rows: DataFrame, key: str, text: str, description_length: C
         "cross_agent_portability": F.when(has_any(t, ["codex", "chatgpt", "claude", "opencode", "cursor", "gemini"]), 5).otherwise(3),
     }
     total = sum((v for v in scores.values()), F.lit(0))
+    # Half-way averages can't occur: ninths have no two-place half.
     return rows.select(key, *[v.cast("int").alias(k) for k, v in scores.items()], F.round(total / len(scores), 2).alias("average"))
 
 
+# What to do about a low score, by dimension, and about lint results.
+SUGGESTIONS = {
+    "trigger_clarity": "Expand the frontmatter description with concrete trigger phrases.",
+    "scope_control": "Add explicit non-goals and context-control guidance.",
+    "procedural_usefulness": "Add a concrete step-by-step workflow.",
+    "output_specificity": "Define expected output sections or templates.",
+    "context_efficiency": "Move long guidance into references or templates.",
+    "safety": "Clarify destructive-operation and permission rules.",
+    "testability": "Add trigger and output eval guidance.",
+    "maintainability": "Add resource navigation so future agents load only relevant files.",
+    "cross_agent_portability": "Name supported agent platforms or add cross-platform notes.",
+}
+FIX_ERRORS = "Fix lint errors before packaging."
+READ_WARNINGS = "Review lint warnings and document intentional exceptions."
+
+
+def score_skills(skills: DataFrame, key: str, text: str, folders: str) -> DataFrame:
+    """(key, ok, nine scores, average, suggestions) of skill texts with the names of the folders beside them; null texts count as empty."""
+    rows = skills.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(folders), F.array().cast("array<string>")).alias("f"))
+    linted = rows.join(lint(rows, key, "t"), key)
+    scored = score_dimensions(linted.withColumn("warned", F.size("warnings") > 0), key, "t", F.col("description_length"), F.col("warned"), F.col("f"))
+    both = linted.join(scored, key)
+    when = {
+        "trigger_clarity": F.col("description_length") < 80,
+        "scope_control": F.col("scope_control") < 5,
+        "procedural_usefulness": F.col("procedural_usefulness") < 4,
+        "output_specificity": F.col("output_specificity") < 4,
+        "context_efficiency": F.col("context_efficiency") < 4,
+        "safety": F.col("safety") == 2,
+        "testability": F.col("testability") < 4,
+        "maintainability": ~F.lower("t").contains("resource navigation"),
+        "cross_agent_portability": F.col("cross_agent_portability") < 5,
+    }
+    said = [F.when(w, SUGGESTIONS[k]) for k, w in when.items()] + [F.when(F.size("errors") > 0, FIX_ERRORS), F.when(F.size("warnings") > 0, READ_WARNINGS)]
+    return both.select(key, "ok", *SUGGESTIONS, "average", F.sort_array(F.array_compact(F.array(*said))).alias("suggestions"))
+
+
+def scan_verdicts(files: DataFrame, skill: str, path: str, text: str) -> DataFrame:
+    """(skill, files_scanned, findings, ok) of the files of skills; ok unless a finding is high. Counts are sums, so no findings are gathered."""
+    found = risk_scan(files.select(skill, path, F.struct(skill, path).alias("file"), text), "file", text).groupBy(F.col(f"file.{skill}").alias(skill)).agg(F.count(F.lit(1)).alias("findings"), F.bool_or(F.col("severity") == "high").alias("high"))
+    return files.groupBy(skill).agg(F.count(F.lit(1)).alias("files_scanned")).join(found, skill, "left").select(skill, "files_scanned", F.coalesce("findings", F.lit(0).cast("long")).alias("findings"), (~F.coalesce("high", F.lit(False))).alias("ok"))
+
+
 def keywords(rows: DataFrame, key: str, text: str, most: int = 12) -> DataFrame:
     """(key, rank, word): words of four letters or more, each once whatever its case, by first place."""
     found = rows.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"([A-Za-z][A-Za-z0-9_-]{3,})"), F.lit(1))).alias("at", "word"))
@@ -125,7 +169,3 @@ def eval_cases(rows: DataFrame, key: str, name: Column, topic: Column) -> DataFr
     made = eval_queries(rows, key, name, topic).select(key, F.lit("positive").alias("kind"), "query")
     fixed = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(q).alias("query")) for kind, some in (("negative", NEGATIVE), ("near_miss", NEAR_MISS)) for q in some])
     return made.unionByName(rows.select(key, F.explode(fixed).alias("x")).select(key, "x.kind", "x.query")).withColumn("train_ratio", F.lit(TRAIN_RATIO))
-
-
-def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RISKS, "rule_id string, pattern string, severity string")

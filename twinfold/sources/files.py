@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.functions.text import LANGUAGES, extension, markdown_cell, stable_id
+from twinfold.functions.text import LANGUAGES, extension, stable_id
 
 # Extensions, folders and files by their handling.
 DOCUMENTS = [".md", ".txt", ".html", ".htm", ".pdf", ".docx", ".pptx"]
@@ -47,13 +47,23 @@ def glob_match(name: Column, path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def decoded(content: Column) -> Column:
+    """Text of bytes without those that are no UTF-8; a replacement character that the text itself holds is kept."""
+    own = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\ufdd0"))
+    return F.replace(F.replace(F.make_valid_utf8(own), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0"), F.lit("\ufffd"))
+
+
 def scan_code(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_kb: int = 1024) -> DataFrame:  # type: ignore[assignment]
     """Every file with its status: (path, ext, text, size, status).
 
     status is ok, excluded_folder, excluded, unsupported, too_large or binary; only ok
-    rows have a text. Size, folder and extension are known before content is read.
+    rows have a text, without bytes that are no UTF-8. Files over the size limit are listed
+    without reading their content: the source filters by length. It can't filter by name, so small
+    files of skipped folders are read.
     """
-    rows = binary_files(spark, root).withColumn("rel", _relative(root)).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("ext", extension(F.col("path")))
+    every, size = binary_files(spark, root), F.col("length")
+    small, large = every.where(size <= max_kb * 1024).select("path", "length", "content"), every.where(size > max_kb * 1024).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    rows = small.unionByName(large).withColumn("rel", _relative(root)).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("ext", extension(F.col("path")))
     if include:
         wanted = F.lit(False)
         for i in include:
@@ -70,7 +80,43 @@ def scan_code(spark: SparkSession, root: str, include: list[str] = (), exclude:
         .when(nul & exact_nul, "binary")
         .otherwise("ok")
     )
-    return rows.withColumn("status", status).select(F.col("rel").alias("path"), "ext", F.when(F.col("status") == "ok", F.col("content").cast("string")).alias("text"), F.col("length").alias("size"), "status")
+    return rows.withColumn("status", status).select(F.col("rel").alias("path"), "ext", F.when(F.col("status") == "ok", decoded(F.col("content"))).alias("text"), F.col("length").alias("size"), "status")
+
+
+#: Files of a skill that are scanned for risks (fixed values).
+SKILL_FILES = [".md", ".py", ".sh", ".bash", ".zsh"]
+
+
+def scan_skills(spark: SparkSession, root: str) -> DataFrame:
+    """(skill, path, text) of the scannable files of the folders right under root, path being relative to the skill; bytes that are no UTF-8 are replaced."""
+    rows = binary_files(spark, root).where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(SKILL_FILES)).withColumn("rel", _relative(root))
+    parts = F.split("rel", "/", 2)
+    return rows.where(F.col("rel").contains("/")).select(parts[0].alias("skill"), parts[1].alias("path"), F.col("content").cast("string").alias("text"))
+
+
+def ignored_files(scanned: DataFrame) -> DataFrame:
+    """(path) of files left out by pattern, size or content, with the reason where it is not a pattern; compiled files are not named."""
+    note = F.when(F.col("status") == "too_large", " (too large)").when(F.col("status") == "binary", " (binary)").otherwise("")
+    return scanned.where(F.col("status").isin("excluded", "too_large", "binary") & ~F.lower("path").endswith(".pyc")).select(F.concat("path", note).alias("path")).distinct()
+
+
+def ignored_folders(scanned: DataFrame) -> DataFrame:
+    """(path) of the outermost folders that are skipped whole."""
+    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    first = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size("f"), F.lit(1))), lambda i: F.element_at("f", i).isin(SKIPPED_FOLDERS)))
+    rows = scanned.where(F.col("status") == "excluded_folder").select(folders.alias("f"))
+    return rows.select(F.array_join(F.slice("f", F.lit(1), first), "/").alias("path")).distinct()
+
+
+def unsupported(scanned: DataFrame) -> DataFrame:
+    """(extension, files) of files of unsupported kinds, most first."""
+    name = F.when(F.col("ext") == "", "(no extension)").otherwise(F.col("ext"))
+    return scanned.where("status = 'unsupported'").groupBy(name.alias("extension")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "extension")
+
+
+def total_unsupported(scanned: DataFrame) -> DataFrame:
+    """One row: files of unsupported kinds."""
+    return unsupported(scanned).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
 
 
 def coverage(scanned: DataFrame, depth_folder: Column, by: str = "ok") -> DataFrame:
@@ -161,11 +207,33 @@ def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
-def write_report(clusters: DataFrame, path: str, top_k: int = 20) -> None:
-    """report.json, a folder of files with all clusters, one object a line, and report.md with the top_k first ones."""
-    clusters.write.mode("overwrite").json(f"{path}/report.json", ignoreNullFields=False)
-    rows = [r.asDict(recursive=True) for r in clusters.limit(top_k).withColumn("cluster", markdown_cell(F.col("cluster").cast("string"))).collect()]
-    with open(f"{path}/report.md", "w", encoding="utf-8") as f:
-        heads = list(rows[0]) if rows else ["cluster"]
-        f.write(f"# Duplicate report\n\n| {' | '.join(heads)} |\n|{'---|' * len(heads)}\n")
-        f.writelines(f"| {' | '.join(str(r[h]) for h in heads)} |\n" for r in rows)
+#: Tables of the store, and the keys that name their rows.
+TABLES = {"documents": "doc_id", "chunks": "chunk_id", "clusters": "cluster_id", "members": "cluster_id"}
+
+
+def write_table(rows: DataFrame, store: str, name: str) -> None:
+    """Write a table of the store whole; the rows may come from the table itself, so they are written beside it and put in its place last."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path  # type: ignore[union-attr]
+    old, new = path(f"{store}/{name}"), path(f"{store}/{name}.new")
+    rows.write.mode("overwrite").parquet(f"{store}/{name}.new")
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise RuntimeError(f"could not put {name} in place")
+
+
+def read_store(spark: SparkSession, store: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/{name}")
+
+
+def stored_chunks(spark: SparkSession, store: str, doc_id: str | None = None, most: int = 500) -> DataFrame:
+    """Chunks of one document, all of them, or else the first of the table as a list endpoint has them; the filter reaches the scan."""
+    rows = read_store(spark, store, "chunks")
+    return rows.where(F.col("doc_id") == doc_id).orderBy("chunk_id") if doc_id is not None else rows.orderBy("chunk_id").limit(most)
+
+
+def stored_clusters(spark: SparkSession, store: str) -> DataFrame:
+    """Clusters by id, each with its members' number."""
+    counts = read_store(spark, store, "members").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return read_store(spark, store, "clusters").join(counts, "cluster_id", "left").orderBy("cluster_id")
