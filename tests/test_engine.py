@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from twinfold.plans import code_queries  # noqa: F401  (adds its queries)
 from twinfold.plans import queries as Q
 
 TABLES = ["documents", "benchmark", "conversations", "events", "pages"]

@@ -18,6 +18,7 @@ from twinfold.operators import rules as R
 from twinfold.operators.chunking import chunk_markdown, split_parts
 from twinfold.operators.components import components, shared_checkpoint
 from twinfold.plans.doc_report import analyse_documents
+from twinfold.sources import files as S
 from twinfold.sources.files import changed, parse_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,10 +75,10 @@ def exact_doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.star_links(_docs(spark, sf_dir).select("doc_id", T.text_hash(F.col("text")).alias("h")), "h", "doc_id")
 
 
-@query("SELECT a.item_id AS \"left\", b.item_id AS \"right\" FROM benchmark a JOIN benchmark b ON length(a.text) = length(b.text) AND a.item_id < b.item_id")
+@query("SELECT a.doc_id AS \"left\", b.doc_id AS \"right\" FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id AND a.source <> b.source")
 def all_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.length("text").cast("string").alias("k"))
-    return P.all_pairs(items, "k", "item_id")
+    """Every pair of equal documents of different sources; one row a pair, as the operator has it."""
+    return P.all_pairs(_docs(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("h")), "h", "doc_id", "source")
 
 
 @query("WITH h AS (SELECT doc_id, sha256(text) AS k FROM documents), g AS (SELECT k, min(doc_id) AS representative, count(*) AS members FROM h GROUP BY 1 HAVING count(*) > 1) SELECT k, doc_id AS item, representative, members, CAST(members * (members - 1) // 2 AS BIGINT) AS pairs FROM h JOIN g USING (k)")
@@ -111,36 +112,6 @@ def representative_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.representative_chunks(_chunks(spark, sf_dir).select("doc_id", F.sha2("line", 256).alias("chunk_id"))).withColumnRenamed("chunk_id", "representative")
 
 
-@query("""WITH u AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM documents),
-w AS (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1, 2)) AS s FROM u WHERE len(ls) >= 3)
-SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(len(list_slice(ls, s + 1, s + 4)) AS BIGINT) AS n, sha256(array_to_string(list_slice(ls, s + 1, s + 4), chr(10))) AS h
-FROM w WHERE len(list_slice(ls, s + 1, s + 4)) >= 3 AND (s = 0 OR s - 2 + 4 < len(ls))""")
-def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 4 non-blank lines by 2, of 3 lines at least, until the end is covered."""
-    u = _docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("ls")).where(F.size("ls") >= 3)
-    w = u.select("doc_id", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(2))).alias("start")).where((F.col("start") == 0) | (F.col("start") + 2 < F.size("ls")))
-    w = w.withColumn("part", F.slice("ls", F.col("start") + 1, F.lit(4))).where(F.size("part") >= 3)
-    return w.select("doc_id", F.col("start").cast("long").alias("start"), F.size("part").cast("long").alias("n"), F.sha2(F.array_join("part", "\n"), 256).alias("h"))
-
-
-@query("""WITH l AS (SELECT doc_id, pos, length(line) < 200 AS gap FROM $LINES), g AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l)
-SELECT doc_id, min(pos) AS first_line, max(pos) AS last_line, count(*) AS n FROM g WHERE NOT gap GROUP BY doc_id, island""")
-def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal runs of lines of 200 characters or more: gaps and islands inside the row, without a window over the table."""
-    runs = F.aggregate(
-        F.split("text", "\n"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(False).alias("open")),
-        lambda s, x: F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(F.length(x) < 200, s["runs"])
-            .when(s["open"], F.concat(F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1), F.array(F.struct(F.try_element_at(s["runs"], F.lit(-1))["a"].alias("a"), (s["at"] + 1).alias("b")))))
-            .otherwise(F.concat(s["runs"], F.array(F.struct((s["at"] + 1).alias("a"), (s["at"] + 1).alias("b"))))).alias("runs"),
-            (F.length(x) >= 200).alias("open"),
-        ),
-    )
-    return _docs(spark, sf_dir).select("doc_id", F.explode(runs["runs"]).alias("r")).select("doc_id", F.col("r.a").cast("long").alias("first_line"), F.col("r.b").cast("long").alias("last_line"), (F.col("r.b") - F.col("r.a") + 1).cast("long").alias("n"))
-
-
 @query("SELECT doc_id, CASE WHEN length(n) = 0 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, greatest(length(n) - 4, 1)), lambda i: substr(n, i, 5)))) END AS n_grams FROM (SELECT doc_id, lower($NORM) AS n FROM documents)")
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", P.gram_count(T.normalize_text(F.col("text"))).alias("n_grams"))
@@ -163,9 +134,9 @@ def near_perf_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(text) - 4, 1)), lambda i: substr(lower(text), i, 5))) AS g FROM {_TURNS}),
 c AS (SELECT a.id AS "left", b.id AS "right", len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM t a JOIN t b
   ON a.role = b.role AND a.id < b.id AND a.conv_id <> b.conv_id AND abs(a.n // 20 - b.n // 20) <= 2 AND least(a.n, b.n) / greatest(a.n, b.n) >= 0.55)
-SELECT "left", "right", CAST(shared AS BIGINT) AS shared, CAST(total - shared AS BIGINT) AS every FROM c WHERE shared / (total - shared) >= 0.5""")
+SELECT "left", "right", CAST(shared AS BIGINT) AS shared, CAST(total - shared AS BIGINT) AS every FROM c WHERE shared / (total - shared) >= 0.2""")
 def near_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.near_pairs(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n", "text", 0.5).select("left", "right", "shared", "every")
+    return P.near_pairs(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n", "text", 0.2).select("left", "right", "shared", "every")
 
 
 @query()
@@ -213,12 +184,11 @@ s AS (SELECT cluster, duplicate_type, similarity, count(*) AS members, sum(line_
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = P.best_pairs(_edges(spark, sf_dir), P.CODE_RANK)
-    comp = components(pairs).withColumnRenamed("component", "cluster")
-    top = F.create_map(*[F.lit(x) for kv in P.CODE_RANK.items() for x in kv])[F.col("duplicate_type")]
-    facts = pairs.join(comp.withColumnRenamed("node", "left"), "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_pairs"), F.max_by("duplicate_type", top).alias("duplicate_type"), F.avg("similarity").alias("similarity"))
+    pairs = shared_checkpoint(P.best_pairs(_edges(spark, sf_dir), P.CODE_RANK))
+    comp = components(pairs)
+    facts = C.cluster_pairs(pairs, P.CODE_RANK, comp)
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("node"), F.concat("source", F.lit("/doc")).alias("path"), F.col("source").alias("folder"), F.size(F.split("text", "\n")).cast("long").alias("line_count"))
-    return facts, comp.join(docs, "node").join(facts, "cluster")
+    return facts, comp.withColumnRenamed("component", "cluster").join(docs, "node").join(facts, "cluster")
 
 
 @query(_FACTS + " SELECT cluster, n_pairs, duplicate_type, round(similarity, 6) AS similarity FROM f")
@@ -249,40 +219,52 @@ def dir_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.folder_pairs(_facts(spark, sf_dir)[1].select("folder", "cluster", "line_count", "similarity"))
 
 
-@query("""WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1), m AS (SELECT g.text AS t, n, doc_id, round(doc_id % 97 / 1e9 + least(length(d.text) / 1000.0, 2.0) + CASE d.lang WHEN 'en' THEN 1.5 ELSE 0 END, 9) AS score FROM documents d JOIN g USING (text)),
-r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, doc_id) AS k FROM m) SELECT sha256(t) AS h, doc_id AS canonical_doc_id, score, n AS members FROM r WHERE k = 1""")
+@query("""WITH x AS (SELECT *, ['current/', 'archive/', 'x/', '历史/'][doc_id % 4 + 1] || source AS path FROM documents),
+m AS (SELECT text AS t, count(*) OVER (PARTITION BY text) AS n, doc_id, round(doc_id % 97 / 1e9 + least(length(text) / 1000.0, 2.0) + CASE lang WHEN 'en' THEN 1.5 WHEN 'de' THEN 0.5 ELSE 0 END
+  + CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN -5 WHEN 3 THEN -5 ELSE 0 END + doc_id % 3 + doc_id % 10 / 10.0, 9) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, doc_id) AS k FROM m WHERE n > 1) SELECT sha256(t) AS h, doc_id AS canonical_doc_id, score, n AS members FROM r WHERE k = 1""")
 def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preferred copy of each group of equal texts: en stands for the .md format, the id for the time of change."""
+    """The preferred copy of each group of equal texts: folder, version and format follow from id and language, the id stands for the time of change."""
     docs = _docs(spark, sf_dir).withColumn("h", F.sha2("text", 256))
-    score = F.round(C.canonical_score(F.lit(""), F.lit(""), F.when(F.col("lang") == "en", ".md").otherwise(""), F.col("doc_id") % 97, F.col("text")), 9)
+    path = F.concat(F.element_at(F.array(*map(F.lit, ["current/", "archive/", "x/", "历史/"])), (F.col("doc_id") % 4 + 1).cast("int")), "source")
+    name = F.concat(F.lit("f_v"), (F.col("doc_id") % 3).cast("string"), F.lit("."), (F.col("doc_id") % 10).cast("string"), F.lit(".md"))
+    score = F.round(C.canonical_score(path, name, F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "de", ".pdf").otherwise(""), F.col("doc_id") % 97, F.col("text")), 9)
     return C.canonical(docs.select("h", "doc_id", score.alias("score")), "h", "doc_id", "score").where("members > 1")
 
 
-@query(_FACTS + """ SELECT cluster, CASE WHEN duplicate_type = 'file_exact' THEN '归档重复文件' ELSE '人工复核或保留观察' END AS action, CASE WHEN duplicate_type = 'file_exact' THEN 'high' ELSE 'low' END AS risk FROM s""")
+@query("""WITH m AS (SELECT doc_id, ['file_exact', 'text_exact', 'chunk_exact', 'chunk_near'][doc_id % 4 + 1] AS kind, doc_id // 4 % 4 + 1 AS n, 0.8 + doc_id // 16 % 3 * 0.07 AS similarity FROM documents)
+SELECT doc_id, CASE WHEN kind = 'file_exact' THEN '归档重复文件' WHEN kind = 'text_exact' THEN '保留主版本，归档正文重复文件' WHEN kind = 'chunk_exact' AND n >= 3 THEN '抽取公共章节' WHEN kind = 'chunk_near' AND similarity >= 0.9 THEN '合并近重复章节' ELSE '人工复核或保留观察' END AS action,
+  CASE WHEN kind IN ('file_exact', 'text_exact') THEN 'high' WHEN (kind = 'chunk_exact' AND n >= 3) OR (kind = 'chunk_near' AND similarity >= 0.9) THEN 'medium' ELSE 'low' END AS risk FROM m""")
 def suggested_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _facts(spark, sf_dir)[1].groupBy("cluster", "duplicate_type", "similarity").agg(F.count(F.lit(1)).alias("n"))
-    action, risk = C.suggest_action(F.col("duplicate_type"), F.col("n"), F.col("similarity"))
-    return m.select("cluster", action.alias("action"), risk.alias("risk"))
+    """Actions for clusters whose type, size and similarity follow from ids: all five."""
+    kind = F.element_at(F.array(*map(F.lit, ["file_exact", "text_exact", "chunk_exact", "chunk_near"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    action, risk = C.suggest_action(kind, F.floor(F.col("doc_id") / 4) % 4 + 1, F.floor(F.col("doc_id") / 16) % 3 * 0.07 + 0.8)
+    return _docs(spark, sf_dir).select("doc_id", action.alias("action"), risk.alias("risk"))
 
 
-@query("SELECT source AS folder, lang AS ext, count(*) AS files FROM documents GROUP BY 1, 2")
+@query("SELECT source AS folder, '.' || lang AS ext, count(*) AS files FROM documents WHERE doc_id % 3 > 0 GROUP BY 1, 2")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy(F.col("source").alias("folder"), F.col("lang").alias("ext")).agg(F.count(F.lit(1)).alias("files"))
+    """Files by folder and extension of scanned files; every third is of an unsupported kind."""
+    scanned = _docs(spark, sf_dir).select(F.concat("source", F.lit("/x/y/z")).alias("path"), F.concat(F.lit("."), "lang").alias("ext"), F.when(F.col("doc_id") % 3 > 0, "ok").otherwise("unsupported").alias("status"))
+    return S.coverage(scanned, T.directory(F.col("path"), 1))
 
 
-@query("""WITH s AS (SELECT count(*) FILTER (lang = 'fr') AS files, count(*) FILTER (lang <> 'fr') AS unsupported FROM documents)
-SELECT 'NO_DUPLICATES_WITH_MANY_UNSUPPORTED_FILES' AS code FROM s WHERE unsupported >= greatest(10, files * 3) UNION ALL SELECT 'EXACT_MODE_SKIPPED_NEAR_DUPLICATES' UNION ALL SELECT 'MANY_IGNORED_FILES' FROM s WHERE unsupported >= greatest(10, files * 2)
-UNION ALL SELECT 'NO_SUPPORTED_FILES' FROM s WHERE files = 0 UNION ALL SELECT 'LOW_SUPPORTED_FILE_COUNT' FROM s WHERE files BETWEEN 1 AND 2""")
+@query("""WITH r AS (SELECT doc_id, mode, doc_id % 7 AS files, doc_id % 3 AS clusters, doc_id % 50 AS unsupported, doc_id % 45 AS ignored, doc_id % 2 = 0 AS capped, doc_id % 5 = 0 AS only_tests FROM documents, (VALUES ('exact'), ('deep')) m(mode))
+SELECT doc_id, mode, 'EXACT_MODE_SKIPPED_NEAR_DUPLICATES' AS code FROM r WHERE mode = 'exact' UNION ALL SELECT doc_id, mode, 'NO_SUPPORTED_FILES' FROM r WHERE files = 0 UNION ALL SELECT doc_id, mode, 'LOW_SUPPORTED_FILE_COUNT' FROM r WHERE files BETWEEN 1 AND 2
+UNION ALL SELECT doc_id, mode, 'NO_DUPLICATES_WITH_MANY_UNSUPPORTED_FILES' FROM r WHERE clusters = 0 AND unsupported >= greatest(10, files * 3) UNION ALL SELECT doc_id, mode, 'MAX_COMPARISONS_REACHED' FROM r WHERE capped
+UNION ALL SELECT doc_id, mode, 'DEEP_MODE_MAX_COMPARISONS_REACHED' FROM r WHERE capped AND mode = 'deep' UNION ALL SELECT doc_id, mode, 'ONLY_LOW_PRIORITY_PATHS_SCANNED' FROM r WHERE files > 0 AND only_tests UNION ALL SELECT doc_id, mode, 'MANY_IGNORED_FILES' FROM r WHERE ignored >= greatest(10, files * 2)""")
 def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fr = F.col("lang") == "fr"
-    stats = _docs(spark, sf_dir).agg(F.count_if(fr).alias("files"), F.lit(0).alias("clusters"), F.count_if(~fr).alias("unsupported"), F.count_if(~fr).alias("ignored"), F.lit(False).alias("capped"), F.lit(False).alias("only_tests"))
-    return C.quality_warnings(stats, "exact")
+    """Warnings of runs whose counts follow from ids, one run a document and mode: all eight codes."""
+    d = F.col("doc_id")
+    stats = _docs(spark, sf_dir).select(d, (d % 7).alias("files"), (d % 3).alias("clusters"), (d % 50).alias("unsupported"), (d % 45).alias("ignored"), (d % 2 == 0).alias("capped"), (d % 5 == 0).alias("only_tests"))
+    runs = [C.quality_warnings(stats.withColumn("mode", F.lit(m)), m) for m in ("exact", "deep")]
+    return runs[0].unionByName(runs[1]).select("doc_id", "mode", "code")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 500 rows: a list endpoint's page."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "user_id", "event_type")
+    return S.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id").select("event_id", "user_id", "event_type")
 
 
 _RULES = ", ".join("('" + i + "', '(?i)" + p + "', '" + s + "')" for i, p, s in R.RISKS)
@@ -295,27 +277,49 @@ def risk_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.risk_scan(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}'), 1) AS pos FROM benchmark),
+@query(r"""WITH w AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{3,}'), 1) AS pos FROM documents),
 f AS (SELECT item_id, min(pos) AS pos, arg_min(word, pos) AS word FROM w GROUP BY item_id, lower(word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rank FROM f) SELECT item_id, rank, word FROM r WHERE rank <= 12""")
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keywords(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return R.keywords(_docs(spark, sf_dir).withColumnRenamed("doc_id", "item_id"), "item_id", "text")
 
 
 _LINT = r"('\brm\s+-rf\b'), ('自动删除|automatically delete'), ('覆盖|overwrite'), ('上传密钥|upload.*(?:secret|token|key|password)'), ('(?:curl|wget).*\|\s*(?:sh|bash)')"
 
 
-@query(f"SELECT doc_id, CAST((SELECT count(*) FROM (VALUES {_LINT}) r(p) WHERE regexp_matches(text, '(?i)' || p)) AS BIGINT) AS n_warnings, 4::BIGINT AS n_errors, false AS ok FROM documents")
+#: Frontmatter of documents as skill texts, by id: none, sound, with a bad name, without a description.
+_HEADS = ["", "---\nname: doc-one\ndescription: 'what it is about'\n---\n", '---\nname: Bad Name\ndescription: x\nname: "Worse Name"\n---\n', "---\nname: doc\nlicense: a: b\n---\n"]
+
+
+def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(head, "text").alias("text"), F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "templates"), F.when(F.col("doc_id") % 3 == 0, "references"), F.when(F.col("doc_id") % 5 == 0, "scripts")), lambda x: x.isNotNull()).alias("folders"))
+
+
+@query(f"""SELECT doc_id, CAST((SELECT count(*) FROM (VALUES {_LINT}) r(p) WHERE regexp_matches(text, '(?i)' || p)) + CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS BIGINT) AS n_warnings,
+  CAST([4, 0, 1, 2][doc_id % 4 + 1] AS BIGINT) AS n_errors, doc_id % 4 = 1 AS ok FROM documents""")
 def lint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as skill texts without frontmatter: four errors each, and the risks their text names."""
-    return R.lint(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), F.size("errors").cast("long").alias("n_errors"), "ok")
+    """Documents as skill texts with frontmatter of four kinds, and the risks their text names."""
+    return R.lint(_skills(spark, sf_dir), "doc_id", "text").select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), F.size("errors").cast("long").alias("n_errors"), "ok")
+
+
+def _any(*terms: str) -> str:
+    return "(" + " OR ".join(f"contains(t, '{x}')" for x in terms) + ")"
 
 
-@query(r"""WITH s AS (SELECT doc_id, lower(text) AS t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)
-SELECT doc_id, CASE WHEN n <= 1200 THEN 4 ELSE 2 END AS context_efficiency, CASE WHEN contains(t, 'eval') OR contains(t, 'lint') OR contains(t, 'security') OR contains(t, 'test') THEN 4 ELSE 3 END AS testability,
-  CASE WHEN contains(t, 'output format') OR contains(t, 'report') OR contains(t, 'json') OR contains(t, 'template') THEN 4 ELSE 3 END AS output_specificity FROM s""")
+@query(f"""WITH s AS (SELECT doc_id, lower(text) AS t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 9 WHEN 2 THEN 9 ELSE 7 END AS n,
+  len(regexp_extract_all(text, '(?m)^\\d+\\.')) AS steps, (SELECT count(*) FROM (VALUES {_LINT}) r(p) WHERE regexp_matches(text, '(?i)' || p)) + CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS warned,
+  doc_id % 2 = 0 AS templates, doc_id % 3 = 0 AS refs, doc_id % 5 = 0 AS scripts FROM documents),
+d AS (SELECT doc_id, 2 AS trigger_clarity, CASE WHEN {_any("prune", "split", "references", "templates")} THEN 5 WHEN {_any("when not", "non-trigger", "do not use")} THEN 4 ELSE 3 END AS scope_control,
+  CASE WHEN steps >= 6 THEN 5 WHEN steps >= 3 THEN 4 ELSE 2 END AS procedural_usefulness, least(5, CASE WHEN {_any("output format", "report", "json", "template")} THEN 4 ELSE 3 END + CAST(templates AS INT)) AS output_specificity,
+  CASE WHEN n <= 700 AND refs THEN 5 WHEN n <= 1200 THEN 4 ELSE 2 END AS context_efficiency, CASE WHEN {_any("destructive", "confirmation", "delete", "overwrite", "move", "rename")} THEN 5 WHEN warned > 0 THEN 2 ELSE 3 END AS safety,
+  least(5, CASE WHEN {_any("eval", "lint", "security", "test")} THEN 4 ELSE 3 END + CAST(scripts AS INT)) AS testability, CASE WHEN CAST(templates AS INT) + CAST(refs AS INT) + CAST(scripts AS INT) >= 2 THEN 5 ELSE 3 END AS maintainability,
+  CASE WHEN {_any("codex", "chatgpt", "claude", "opencode", "cursor", "gemini")} THEN 5 ELSE 3 END AS cross_agent_portability, t FROM s),
+a AS (SELECT *, round((trigger_clarity + scope_control + procedural_usefulness + output_specificity + context_efficiency + safety + testability + maintainability + cross_agent_portability) / 9.0, 2) AS average FROM d)
+SELECT a.* EXCLUDE (t), doc_id % 4 = 1 AS ok, CAST(1 + CAST(scope_control < 5 AS INT) + CAST(procedural_usefulness < 4 AS INT) + CAST(output_specificity < 4 AS INT) + CAST(context_efficiency < 4 AS INT) + CAST(safety = 2 AS INT) + CAST(testability < 4 AS INT)
+  + CAST(NOT contains(t, 'resource navigation') AS INT) + CAST(cross_agent_portability < 5 AS INT) + CAST(doc_id % 4 <> 1 AS INT) + CAST((SELECT warned > 0 FROM s WHERE s.doc_id = a.doc_id) AS INT) AS INT) AS n_suggestions FROM a""")
 def score_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.score_dimensions(_docs(spark, sf_dir), "doc_id", "text", F.lit(100), F.lit(False), F.array().cast("array<string>"))
-    return got.select("doc_id", "context_efficiency", "testability", "output_specificity")
+    """All nine scores, their average and the number of suggestions of documents as skill texts."""
+    return R.score_skills(_skills(spark, sf_dir), "doc_id", "text", "folders").withColumn("n_suggestions", F.size("suggestions")).drop("suggestions")
 
 
 @query()

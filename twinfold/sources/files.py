@@ -207,6 +207,11 @@ def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
+def newest(rows: DataFrame, at: str, key: str, most: int = 500) -> DataFrame:
+    """The newest rows, as a list endpoint has them; ties by the key, largest first."""
+    return rows.orderBy(F.desc(at), F.desc(key)).limit(most)
+
+
 #: Tables of the store, and the keys that name their rows.
 TABLES = {"documents": "doc_id", "chunks": "chunk_id", "clusters": "cluster_id", "members": "cluster_id"}
 
