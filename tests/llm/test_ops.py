@@ -397,14 +397,3 @@ def test_held_out_folds_and_columns(spark, sf_dir):
     rows = QUERIES["op3_kneser_ney_toxicity"](spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
-
-
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline as P
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in P.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns, name
-        assert 0 < out.count() <= docs.count()
-    assert P.run(spark, sf_dir).count() > 0

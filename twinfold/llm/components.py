@@ -33,8 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         near = _minima(down, total)
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         now = durable(small)
-        total = 2 * now.count()
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        total = 2 * seen[0]
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
