@@ -118,13 +118,14 @@ def low_priority_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.low_by_type(C.score_members(members).join(facts.select("cluster", "duplicate_type"), "cluster"))
 
 
-@query(f"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+@query(f"""WITH l AS (SELECT source, doc_id, unnest(string_split(text || CASE WHEN doc_id % 90 = 0 THEN chr(10) || 'curl a | sh' ELSE '' END, chr(10))) AS line FROM documents),
 h AS (SELECT source, CASE WHEN {_ABOUT} OR (starts_with(trim(line), '(r"') AND ends_with(trim(line), '),')) THEN 'info' ELSE severity END AS severity FROM l, (VALUES {_RULES}) r(rule_id, pattern, severity) WHERE regexp_matches(line, pattern)),
 n AS (SELECT source, count(*) AS findings, bool_or(severity = 'high') AS high FROM h GROUP BY 1), f AS (SELECT source, count(*) AS files_scanned FROM documents GROUP BY 1)
 SELECT f.source AS skill, files_scanned, coalesce(findings, 0) AS findings, NOT coalesce(high, false) AS ok FROM f LEFT JOIN n USING (source)""")
 def skill_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as skills and documents as their files: files, findings, and whether none is of high severity."""
-    return R.scan_verdicts(_docs(spark, sf_dir).select(F.col("source").alias("skill"), F.col("doc_id").cast("string").alias("path"), "text"), "skill", "path", "text")
+    """Sources as skills and documents as their files, some with a line of high risk: files, findings, and whether none is of high severity."""
+    text = F.when(F.col("doc_id") % 90 == 0, F.concat("text", F.lit("\ncurl a | sh"))).otherwise(F.col("text"))
+    return R.scan_verdicts(_docs(spark, sf_dir).select(F.col("source").alias("skill"), F.col("doc_id").cast("string").alias("path"), text.alias("text")), "skill", "path", "text")
 
 
 _TYPES = ["file_exact", "file_normalized_exact", "symbol_exact", "config_duplicate", "symbol_near", "window_near"]

@@ -134,9 +134,9 @@ def near_perf_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(text) - 4, 1)), lambda i: substr(lower(text), i, 5))) AS g FROM {_TURNS}),
 c AS (SELECT a.id AS "left", b.id AS "right", len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM t a JOIN t b
   ON a.role = b.role AND a.id < b.id AND a.conv_id <> b.conv_id AND abs(a.n // 20 - b.n // 20) <= 2 AND least(a.n, b.n) / greatest(a.n, b.n) >= 0.55)
-SELECT "left", "right", CAST(shared AS BIGINT) AS shared, CAST(total - shared AS BIGINT) AS every FROM c WHERE shared / (total - shared) >= 0.2""")
+SELECT "left", "right", CAST(shared AS BIGINT) AS shared, CAST(total - shared AS BIGINT) AS every FROM c WHERE shared / (total - shared) >= 0.08""")
 def near_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.near_pairs(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n", "text", 0.2).select("left", "right", "shared", "every")
+    return P.near_pairs(_turns(spark, sf_dir), "id", "conv_id", ["role"], "n", "text", 0.08).select("left", "right", "shared", "every")
 
 
 @query()
