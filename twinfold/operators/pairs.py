@@ -91,12 +91,33 @@ def score_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.select("left", "right", F.col("shared").cast("long").alias("shared"), F.col("every").cast("long").alias("every"), jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
 
 
+def _paired(rows: DataFrame, keys: list[str], count: str, least_ratio: float, bucket: int = 20, reach: int = 2) -> DataFrame:
+    """One row, (n, far): the pairs of rows with equal keys whose counts fall in buckets at most ``reach`` apart, and those whose ratio is too low; from how often each count occurs."""
+    held = rows.groupBy(*keys, F.col(count).alias("a")).agg(F.count(F.lit(1)).alias("ca")).withColumn("bucket", F.floor(F.col("a") / bucket))
+    later = held.withColumnsRenamed({"a": "b", "ca": "cb"}).withColumn("bucket", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket"))))
+    n = F.when(F.col("a") == F.col("b"), F.floor(F.col("ca") * (F.col("ca") - 1) / 2)).otherwise(F.col("ca") * F.col("cb"))
+    met = held.join(later, [*keys, "bucket"]).where("a <= b").select(n.cast("long").alias("n"), (F.col("a") / F.col("b") < least_ratio).alias("far"))
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("far"), F.col("n"))), F.lit(0)).alias("far"))
+
+
 def pair_counters(chunks: DataFrame, item: str, path: str, block: list[str], count: str, least_ratio: float = 0.55) -> DataFrame:
-    """One row: candidate_pairs, jaccard_comparisons, skipped_same_path, skipped_length."""
-    far = F.col("ratio") < least_ratio
-    return bucket_candidates(chunks, item, path, block, count).agg(
-        F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(~F.col("same_path") & ~far).alias("jaccard_comparisons"), F.count_if("same_path").alias("skipped_same_path"), F.count_if(~F.col("same_path") & far).alias("skipped_length")
-    )
+    """One row: candidate_pairs, jaccard_comparisons, skipped_same_path, skipped_length of ``bucket_candidates``.
+
+    No pair is made: rows are counted by their counts, and products of such numbers are
+    added up. Pairs of one item, which are no candidates, are taken off in the same way.
+    """
+    rows = chunks.select(*block, F.col(item).alias("item"), F.col(path).alias("path"), F.col(count).alias("count")).where(F.col("item").isNotNull() & F.col("count").isNotNull())
+    again = rows.groupBy(*block, "item").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    twice = rows.join(again, [*block, "item"], "left_semi")
+    placed, placed_twice = rows.where("path is not null"), twice.where("path is not null")
+    parts = [("every", 1, rows, block), ("every", -1, twice, [*block, "item"]), ("placed", 1, placed, block), ("placed", -1, placed_twice, [*block, "item"]), ("same", 1, placed, [*block, "path"]), ("same", -1, placed_twice, [*block, "item", "path"])]
+    out = None
+    for what, sign, some, keys in parts:
+        one = _paired(some, keys, "count", least_ratio).select(F.lit(what).alias("what"), (F.col("n") * sign).alias("n"), (F.col("far") * sign).alias("far"))
+        out = one if out is None else out.unionByName(one)
+    total = lambda what, c: F.sum(F.when(F.col("what") == what, F.col(c)).otherwise(0))
+    apart, far = total("placed", "n") - total("same", "n"), total("placed", "far") - total("same", "far")
+    return out.agg(total("every", "n").alias("candidate_pairs"), (apart - far).alias("jaccard_comparisons"), total("same", "n").alias("skipped_same_path"), far.alias("skipped_length"))  # type: ignore[union-attr]
 
 
 #: Odd factors of the characters of a gram.
