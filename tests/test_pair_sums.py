@@ -28,3 +28,36 @@ def test_counters_are_those_of_listed_pairs_without_listing_them(spark):
     # As many copies as make 2 * 10 ** 11 pairs.
     many = spark.range(2_000_000).select("id", F.col("id").alias("p"), F.lit("u").alias("role"), (F.col("id") % 20 + 1).alias("n"))
     assert P.pair_counters(many, "id", "p", ["role"], "n").first()["candidate_pairs"] == 2_000_000 * 1_999_999 // 2
+
+
+def test_near_pairs_of_blocks_are_those_of_listed_candidates(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from twinfold.functions.text import grams
+    from twinfold.operators import pairs as P
+
+    rows = chunks(spark).where("id > 200 or id % 9 > 0")
+    rows = rows.dropDuplicates(["id"])
+    rows = rows.localCheckpoint()
+    cand = P.bucket_candidates(rows, "id", "p", ["role"], "n").where("not same_path and ratio >= 0.55").select("left", "right")
+    want = {tuple(r) for r in P.score_pairs(cand, rows.select("id", grams(F.col("text")).alias("g"))).where("similarity >= 0.1").collect()}
+    assert len(want) > 1000
+    for block, listed in ((2048, 2048), (30, 4)):
+        monkeypatch.setattr(P, "BLOCK", block)
+        monkeypatch.setattr(P, "LISTED", listed)
+        found = P.near_pairs(rows, "id", "p", ["role"], "n", "text", 0.1)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        # No candidate is a row of a join: rows meet pairs of blocks by broadcast.
+        assert "SortMergeJoin" not in found._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_grams_are_counted_by_lists_and_by_products():
+    import numpy as np
+
+    from twinfold.operators import pairs as P
+
+    rng = np.random.default_rng(4)
+    xs, ys = ([np.unique((rng.random(rng.integers(0, 200)) ** 3 * 900).astype(np.uint64)) for _ in range(n)] for n in (130, 90))
+    assert (P.shared_grams(xs, ys) == [[np.intersect1d(x, y).size for y in ys] for x in xs]).all()
+    assert P.shared_grams(xs[:1], []).shape == (1, 0)
