@@ -61,3 +61,17 @@ def test_shared_grams_are_counted_by_lists_and_by_products():
     xs, ys = ([np.unique((rng.random(rng.integers(0, 200)) ** 3 * 900).astype(np.uint64)) for _ in range(n)] for n in (130, 90))
     assert (P.shared_grams(xs, ys) == [[np.intersect1d(x, y).size for y in ys] for x in xs]).all()
     assert P.shared_grams(xs[:1], []).shape == (1, 0)
+
+
+def test_pairs_are_scored_from_texts_as_from_grams(spark):
+    from pyspark.sql import functions as F
+
+    from twinfold.operators import pairs as P
+
+    texts = spark.createDataFrame([(1, "Abcdefgh"), (2, "abcdefghi"), (3, ""), (4, None), (5, "ab"), (6, "字字字字字字")], "id long, t string")
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 7) for b in range(a + 1, 7)], "left long, right long")
+    low = texts.select("id", F.lower("t").alias("t"))
+    want = {tuple(r) for r in P.score_pairs(pairs, texts.select("id", P.gram_sets(F.col("t")).alias("g"))).collect()}
+    got = P.score_texts(pairs, low)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 15
+    assert "array" not in got._jdf.queryExecution().optimizedPlan().toString()
