@@ -47,15 +47,36 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(last)
 
 
+#: What no normal text has: marks that are looked for as they are, and those of texts beyond ASCII.
+UNTIDY = ["\r", "\t", "\f", "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "  ", " \n", "\n ", "\n\n\n"]
+UNTIDY_WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+
+
+def is_normal(text: Column) -> Column:
+    """Whether ``normalize_text`` would return the text as it is, for most such texts; never true of another. No pattern is run."""
+
+    def free(marks: list[str]) -> Column:
+        out = F.lit(True)
+        for m in marks:
+            out = out & ~text.contains(m)
+        return out
+
+    ends = F.lit(True)
+    for m in (" ", "\n"):
+        ends = ends & ~text.startswith(m) & ~text.endswith(m)
+    return ends & free(UNTIDY) & ((F.octet_length(text) == F.length(text)) | free(UNTIDY_WIDE))
+
+
 def normalize_text(text: Column) -> Column:
     """Unix line ends, single blanks, stripped lines, at most one blank line in a row.
 
     Whole-text replacements, whose possessive runs are looked at once: no array of lines is made.
+    Texts that are normal already, as most are, pass unread by them.
     """
     flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t\f\x0B]++", " ")
     edges = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]++"
     rows = F.regexp_replace(flat, f"(?md)^{edges}|{edges}$", "")
-    return strip(F.regexp_replace(rows, r"\n{3,}", "\n\n"))
+    return F.when(is_normal(text), text).otherwise(strip(F.regexp_replace(rows, r"\n{3,}", "\n\n")))
 
 
 def text_hash(text: Column) -> Column:
