@@ -27,3 +27,16 @@ def test_windows_are_filtered_before_texts_are_normalised(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.rindex("Filter") and "window" in plan[plan.index("Aggregate") :]
     assert found.count() == found.distinct().count() == 1000 * 2 + 1000 * 4
+
+
+def test_signatures_and_counts_of_texts_one_at_a_time(spark):
+    texts = ["", None, "abc", "abcde" * 3, "x" * 9000, "".join(map(chr, np.random.default_rng(5).integers(97, 120, 6000)))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(P.minhash(F.col("t")).alias("sig"), P.gram_count(F.col("t")).alias("n")).collect()
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 1 << 61, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, 128, dtype=np.uint64)
+    for t, r in zip(texts, got, strict=True):
+        h = P.gram_hashes(t) if t else np.zeros(1, dtype=np.uint64)
+        assert r["sig"] == ((h[:, None] * a + b).min(0) >> np.uint64(2)).astype(np.int64).tolist()
+        assert r["n"] == (h.size if t else 0)
+    assert isinstance(P.gram_values("abcabcabc"), np.ndarray) and P.gram_values("x" * 9).size == 5
