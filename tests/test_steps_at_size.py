@@ -40,3 +40,12 @@ def test_signatures_and_counts_of_texts_one_at_a_time(spark):
         assert r["sig"] == ((h[:, None] * a + b).min(0) >> np.uint64(2)).astype(np.int64).tolist()
         assert r["n"] == (h.size if t else 0)
     assert isinstance(P.gram_values("abcabcabc"), np.ndarray) and P.gram_values("x" * 9).size == 5
+
+
+def test_pages_and_documents_leave_their_batch_in_parts(spark):
+    from twinfold.operators import chunking
+    from twinfold.sources import files
+
+    assert files.ROWS <= 64 and chunking.ROWS <= 256
+    pages = spark.createDataFrame([(i, f"<title>t{i}</title><p>p{i}</p>") for i in range(500)], "id long, html string").coalesce(1)
+    assert [tuple(r) for r in files.parse_html(pages, "id", "html").collect()] == [(i, f"t{i}", f"p{i}") for i in range(500)]

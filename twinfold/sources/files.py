@@ -172,12 +172,16 @@ def html_markdown(source: str | None, name: str | None = None) -> tuple[str | No
     return title or name, "\n\n".join(out)
 
 
+#: Pages that are parsed before they are handed on.
+ROWS = 64
+
+
 def parse_html(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, title, markdown) of pages."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             got = [html_markdown(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=[key, "title", "markdown"])
 
