@@ -185,7 +185,10 @@ def low(text: Column) -> Column:
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
-    lowered = low(text)
+    return contains_any(low(text), terms)
+
+
+def contains_any(lowered: Column, terms: list[str]) -> Column:
     out = F.lit(False)
     for t in terms:
         out = out | lowered.contains(t.lower())
